@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe
+from . import bpe, quality
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,54 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, digests=True)
 
 
-QUERIES = {"op5_bpe": op5_bpe}
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents"))
 
-ORACLE_SQL: dict[str, str] = {}
+
+QUALITY_SQL = r"""
+WITH split AS (
+  SELECT doc_id, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+), placed AS (
+  SELECT doc_id, words, unnest(range(1, len(words) - 3)) AS i FROM split WHERE len(words) >= 5
+), counted AS (
+  SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, words[i:i + 4]) AS n FROM placed
+), repeated AS (
+  SELECT doc_id, count(DISTINCT i + k) AS n FROM counted, range(5) r(k) WHERE counted.n > 1 GROUP BY doc_id
+), lines AS (
+  SELECT doc_id, count(*) - count(DISTINCT line) AS n
+  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM split) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id
+), measured AS (
+  SELECT s.doc_id, s.source, len(words)::BIGINT AS n_words, length(array_to_string(words, ''))::BIGINT AS word_chars,
+    length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g'))::BIGINT AS n_symbols,
+    coalesce(l.n, 0)::BIGINT AS n_dup_lines, coalesce(r.n, 0)::BIGINT AS n_repeat_words
+  FROM split s LEFT JOIN lines l USING (doc_id) LEFT JOIN repeated r USING (doc_id)
+), judged AS (
+  SELECT *, n_words < 10 AS short, 100 * n_repeat_words > 20 * n_words AS repeats,
+    100 * n_symbols > 30 * n_words AS symbols, 100 * n_dup_lines > 60 * n_words AS lines FROM measured
+), failures AS (
+  SELECT source, rule, count(*) AS n, count(*) FILTER (failed) AS f
+  FROM (SELECT source, unnest(['short', 'repeats', 'symbols', 'lines']) AS rule, unnest([short, repeats, symbols, lines]) AS failed FROM judged WHERE source IS NOT NULL)
+  GROUP BY source, rule
+), moments AS (
+  SELECT rule, least(greatest(avg(f / n), 0.001), 0.999) AS mean, var_pop(f / n) AS var, avg(1 / n) AS noise FROM failures GROUP BY rule
+), between_hosts AS (
+  SELECT *, (var - mean * (1 - mean) * noise) / greatest(1 - noise, 1e-9) AS spread FROM moments
+), priors AS (
+  SELECT rule, mean, CASE WHEN spread > 0 THEN least(greatest(mean * (1 - mean) / spread - 1, 2), 1000) ELSE 1000 END AS strength FROM between_hosts
+), hosts AS (
+  SELECT source, bool_or((f + mean * strength) / (n + strength) > 0.5) AS host_rejected FROM failures JOIN priors USING (rule) GROUP BY source
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, short OR repeats AS base_failed,
+  coalesce(host_rejected, false) AS host_rejected, NOT (short OR repeats) AND NOT coalesce(host_rejected, false) AS kept
+FROM judged LEFT JOIN hosts USING (source)
+"""
+
+
+QUERIES = {
+    "op3_quality": op3_quality,
+    "op5_bpe": op5_bpe,
+}
+
+ORACLE_SQL: dict[str, str] = {
+    "op3_quality": QUALITY_SQL,
+}
