@@ -8,7 +8,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -174,3 +174,10 @@ def binary_rows(column: pa.ChunkedArray | pa.Array, dtype: str) -> np.ndarray:
 def need(df: DataFrame, *columns: str) -> DataFrame:
     """Only the named columns; so other columns, whatever their names, can't clash."""
     return df.select(*[F.col(f"`{c}`") for c in columns])
+
+
+def step(df: DataFrame, keep: list[str], **columns: Column) -> DataFrame:
+    """Columns computed once for each row.  A projection could be merged into the
+    next one, where an array used inside a lambda would be computed again for
+    each element; a generator of one row isn't merged."""
+    return df.select(*keep, F.inline(F.array(F.struct(*[c.alias(k) for k, c in columns.items()]))))

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, need
+from .common import Workspace, need, step
 
 WINDOW = 5
 MIN_WORDS = 10
@@ -30,26 +30,19 @@ HOST_MAX_RATE = 0.5
 _SPACE = "[\\x20\\x09-\\x0D]+"
 
 
-def _step(df: DataFrame, keep: list[str], **columns: Column) -> DataFrame:
-    """Columns computed once for each row.  A projection could be merged into the
-    next one, where an array used inside a lambda would be computed again for
-    each element; a generator of one row isn't merged."""
-    return df.select(*keep, F.inline(F.array(F.struct(*[c.alias(k) for k, c in columns.items()]))))
-
-
 def measure(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source") -> DataFrame:
     """``key, host, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words``."""
     df = need(docs, key, host, text).toDF("id", "host", "text")
     df = df.select("id", "host", F.coalesce("text", F.lit("")).alias("text"))
     stripped = F.regexp_replace("text", f"^{_SPACE}|{_SPACE}$", "")
     lines = F.filter(F.split("text", "\n"), lambda x: F.regexp_like(x, F.lit("[^\\x20\\x09-\\x0D]")))
-    df = _step(
+    df = step(
         df, ["id", "host"],
         words=F.when(stripped == "", F.array().cast("array<string>")).otherwise(F.split(stripped, _SPACE)),
         n_symbols=F.length(F.regexp_replace("text", "[^#*$%&|<>]+", "")).cast("bigint"),
         lines=lines,
     )
-    df = _step(
+    df = step(
         df, ["id", "host", "n_symbols"],
         n_words=F.size("words").cast("bigint"),
         word_chars=F.length(F.array_join("words", "")).cast("bigint"),
@@ -59,13 +52,13 @@ def measure(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str
     rest = ["id", "host", "n_words", "word_chars", "n_symbols", "n_dup_lines"]
     # a window is told by a 64-bit hash of its words' hashes
     first = F.slice("hashes", F.lit(1), F.greatest(F.size("hashes") - (WINDOW - 1), F.lit(0)))
-    df = _step(df, rest, windows=F.transform(first, lambda x, i: F.xxhash64(x, *[F.get("hashes", i + k) for k in range(1, WINDOW)])))
-    df = _step(df, [*rest, "windows"], ordered=F.sort_array("windows"))
+    df = step(df, rest, windows=F.transform(first, lambda x, i: F.xxhash64(x, *[F.get("hashes", i + k) for k in range(1, WINDOW)])))
+    df = step(df, [*rest, "windows"], ordered=F.sort_array("windows"))
     repeats = F.exists(F.transform("ordered", lambda x, i: x.eqNullSafe(F.get("ordered", i - 1))), lambda x: x)
     # only texts with a repeated window go on to find where they are
-    df = _step(df, rest, placed=F.when(repeats, F.sort_array(F.transform("windows", lambda x, i: F.struct(x.alias("h"), i.alias("i"))))))
+    df = step(df, rest, placed=F.when(repeats, F.sort_array(F.transform("windows", lambda x, i: F.struct(x.alias("h"), i.alias("i"))))))
     twice = F.filter("placed", lambda x, i: x["h"].eqNullSafe(F.get("placed", i - 1)["h"]) | x["h"].eqNullSafe(F.get("placed", i + 1)["h"]))
-    df = _step(df, rest, at=F.sort_array(F.transform(twice, lambda x: x["i"])))
+    df = step(df, rest, at=F.sort_array(F.transform(twice, lambda x: x["i"])))
     covered = F.aggregate(
         F.transform("at", lambda x, i: F.least(F.lit(WINDOW), F.coalesce(F.get("at", i + 1) - x, F.lit(WINDOW)))),
         F.lit(0).cast("bigint"), lambda a, x: a + x,

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, quality
+from . import bpe, quality, url_examples, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,11 +61,65 @@ FROM judged LEFT JOIN hosts USING (source)
 """
 
 
+def op7_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = [F.struct(F.lit(u).alias("url"), F.lit(label).alias("label")) for label, part in ((1, url_examples.BLOCKED), (0, url_examples.ALLOWED)) for u in part]
+    examples = spark.range(1).select(F.inline(F.array(*given)))
+    return urls.judge(table(spark, sf_dir, "pages"), url_examples.RULES, examples)
+
+
+def _values(rows: list[tuple]) -> str:
+    return ", ".join("(" + ", ".join(repr(x) for x in row) + ")" for row in rows)
+
+
+def _url_parts(url: str) -> str:
+    found = lambda i: f"coalesce(regexp_extract({url}, '(?s)^.*?://([^/?#]*)([^?#]*)', {i}), '')"
+    return f"translate({found(1)}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, {found(2)} AS path"
+
+
+def _url_features(of: str) -> str:
+    grams = " UNION ALL ".join(f"SELECT id, substr(t, i, {n}) AS g FROM (SELECT id, t, unnest(range(1, length(t) - {n - 2})) AS i FROM (SELECT id, '^' || host || '$' || path AS t FROM {of}))" for n in urls.SIZES)
+    return f"SELECT id, list(DISTINCT ('0x' || md5(g)[1:4])::INT % {urls.BUCKETS}) AS features FROM ({grams}) GROUP BY id"
+
+
+URLS_SQL = f"""
+WITH RECURSIVE examples AS (
+  SELECT row_number() OVER () AS id, label, {_url_parts('url')}
+  FROM (VALUES {_values([(u, 1.0) for u in url_examples.BLOCKED] + [(u, 0.0) for u in url_examples.ALLOWED])}) v(url, label)
+), example_features AS (
+  SELECT id, label, coalesce(features, []) AS features FROM examples LEFT JOIN ({_url_features('examples')}) f USING (id)
+), kernel AS (
+  SELECT a.id, a.label, list(len(list_intersect(a.features, b.features)) + 1.0 ORDER BY b.id) AS k FROM example_features a, example_features b GROUP BY a.id, a.label
+), descent AS (
+  SELECT 0 AS epoch, list(0.0::DOUBLE ORDER BY id) AS a FROM kernel
+  UNION ALL
+  SELECT epoch + 1, (SELECT list(a[id] * (1 - {urls.RATE} * {urls.DECAY}) + (label - 1 / (1 + exp(-list_dot_product(k::DOUBLE[], a::DOUBLE[])))) * {urls.RATE} / len(a) ORDER BY id) FROM kernel)
+  FROM descent WHERE epoch < {urls.EPOCHS}
+), coefficients AS (
+  SELECT a FROM descent WHERE epoch = {urls.EPOCHS}
+), weights AS (
+  SELECT feature, sum(a[id]) AS w FROM (SELECT id, unnest(features) AS feature FROM example_features), coefficients GROUP BY feature
+), pages_parts AS (
+  SELECT row_number() OVER () AS id, page_id, {_url_parts('url')} FROM pages
+), scores AS (
+  SELECT id, sum(w) AS s FROM (SELECT id, unnest(features) AS feature FROM ({_url_features('pages_parts')})) JOIN weights USING (feature) GROUP BY id
+), fits AS (
+  SELECT id, arg_max(h || p, length(h || p)) AS rule, arg_max(v, length(h || p)) AS verdict
+  FROM pages_parts JOIN (VALUES {_values(url_examples.RULES)}) r(h, p, v) ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p)
+  GROUP BY id
+), judged AS (
+  SELECT *, 1 / (1 + exp(-(coalesce(s, 0) + (SELECT list_sum(a) FROM coefficients)))) AS score FROM pages_parts LEFT JOIN scores USING (id) LEFT JOIN fits USING (id)
+)
+SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN score >= {urls.THRESHOLD} THEN 'block' ELSE 'allow' END) AS verdict, round(score, 4) AS score FROM judged
+"""
+
+
 QUERIES = {
     "op3_quality": op3_quality,
     "op5_bpe": op5_bpe,
+    "op7_urls": op7_urls,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op3_quality": QUALITY_SQL,
+    "op7_urls": URLS_SQL,
 }
