@@ -5,13 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, quality, url_examples, urls
+from . import bpe, quality, toxicity, url_examples, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"), ~toxicity.held_out(F.col("id")))
+    return toxicity.score(docs, model).select(
+        "doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted")
+    )
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -115,6 +123,7 @@ SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN score >= {urls.THR
 
 QUERIES = {
     "op3_quality": op3_quality,
+    "op4_toxicity": op4_toxicity,
     "op5_bpe": op5_bpe,
     "op7_urls": op7_urls,
 }
