@@ -39,9 +39,9 @@ LEAST_TEXTS = 3
 LEAST_Z = 4.5
 THRESHOLD = 0.7
 
-DECAY = 1e-3
+DECAY = 1e-4
 COUNTERFACTUAL_WEIGHT = 1.0
-STEPS = 300
+STEPS = 2_000
 
 #: Terms that are swapped within their kind.
 IDENTITY_TERMS = {
@@ -140,7 +140,8 @@ def sample(docs: DataFrame, labels: DataFrame, may_learn: Column, key: str, text
     texts = need(docs, key, text).toDF("id", "text")
     # at most 2 * per_class short rows
     rows = texts.join(F.broadcast(chosen[0].union(chosen[1])), "id")
-    return rows.groupBy("id", "label").agg(F.min(F.coalesce("text", F.lit(""))).alias("text")).select("text", "label")
+    rows = rows.groupBy("id", "label").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
+    return rows.select("text", "label").distinct()  # copies of a text say nothing new about its words
 
 
 def choose(rows: DataFrame, most: int) -> tuple[np.ndarray, int, int]:
