@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, quality, toxicity, url_examples, urls
+from . import bpe, jaccard, quality, toxicity, url_examples, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,6 +69,35 @@ FROM judged LEFT JOIN hosts USING (source)
 """
 
 
+def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(table(spark, sf_dir, "documents"))
+
+
+JACCARD_SQL = r"""
+WITH RECURSIVE split AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+), grams AS (
+  SELECT DISTINCT doc_id, array_to_string(words[i:i + 4], ' ') AS gram
+  FROM (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 4, 1) + 1)) AS i FROM split WHERE len(words) > 0)
+), sizes AS (
+  SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id
+), pairs AS (
+  SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS shared FROM grams a JOIN grams b ON a.gram = b.gram AND a.doc_id <> b.doc_id GROUP BY 1, 2
+), links AS (
+  SELECT u, v FROM pairs JOIN sizes a ON a.doc_id = u JOIN sizes b ON b.doc_id = v WHERE shared / (a.n + b.n - shared) >= 0.8
+), reached AS (
+  SELECT doc_id, doc_id AS to_id FROM documents
+  UNION
+  SELECT r.doc_id, l.v FROM reached r JOIN links l ON l.u = r.to_id
+), classes AS (
+  SELECT doc_id, min(to_id) AS class_id FROM reached GROUP BY doc_id
+), counts AS (
+  SELECT u AS doc_id, count(*) AS n FROM links GROUP BY u
+)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_links, class_id, class_id = doc_id AS kept FROM classes LEFT JOIN counts USING (doc_id)
+"""
+
+
 def op7_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     given = [F.struct(F.lit(u).alias("url"), F.lit(label).alias("label")) for label, part in ((1, url_examples.BLOCKED), (0, url_examples.ALLOWED)) for u in part]
     examples = spark.range(1).select(F.inline(F.array(*given)))
@@ -125,10 +154,12 @@ QUERIES = {
     "op3_quality": op3_quality,
     "op4_toxicity": op4_toxicity,
     "op5_bpe": op5_bpe,
+    "op6_jaccard": op6_jaccard,
     "op7_urls": op7_urls,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op3_quality": QUALITY_SQL,
+    "op6_jaccard": JACCARD_SQL,
     "op7_urls": URLS_SQL,
 }
