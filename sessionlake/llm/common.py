@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -165,6 +166,27 @@ def roots(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return root
 
 
+def linked(table: pa.Table, left: np.ndarray, right: np.ndarray, links: Callable[[np.ndarray, np.ndarray], np.ndarray], size: np.ndarray) -> pa.RecordBatch | None:
+    """``node, links, root`` of the members of a group that have links."""
+    hit = links(left, right)
+    node = table.column("node").to_numpy()
+    if left is right:
+        hit &= ~np.eye(len(left), dtype=bool)
+    a, b = np.nonzero(hit)
+    if not len(a):
+        return None
+    a, b = left[a], right[b]
+    if left is not right:
+        a, b = np.concatenate([a, b]), np.concatenate([b, a])
+    order = np.argsort(node, kind="stable")  # so that a root is the smallest node
+    rank = np.empty(len(node), int)
+    rank[order] = np.arange(len(node))
+    root = node[order[roots(len(node), rank[a], rank[b])]][rank]
+    count = np.bincount(a, size[b], len(node)).astype(np.int64)
+    at = np.unique(a)
+    return pa.record_batch([pa.array(node[at]), pa.array(count[at]), pa.array(root[at])], names=["node", "links", "root"])
+
+
 def binary_rows(column: pa.ChunkedArray | pa.Array, dtype: str) -> np.ndarray:
     """A matrix of equally long binary cells."""
     cells = column.to_pylist()

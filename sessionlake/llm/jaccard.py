@@ -25,14 +25,12 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Callable
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, binary_rows, by_group, connected_components, groups, in_blocks, need, pairs_of, roots
+from .common import Workspace, binary_rows, by_group, connected_components, groups, in_blocks, linked, need, pairs_of
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -118,27 +116,6 @@ def features(docs: DataFrame, key: str, text: str) -> DataFrame:
     return need(docs, key, text).toDF("id", "text").mapInArrow(run, f"id {docs.schema[key].dataType.simpleString()}, digest binary, signature binary")
 
 
-def _linked(table: pa.Table, left: np.ndarray, right: np.ndarray, links: Callable[[np.ndarray, np.ndarray], np.ndarray], size: np.ndarray) -> pa.RecordBatch | None:
-    """``node, links, root`` of the members of a group that have links."""
-    hit = links(left, right)
-    node = table.column("node").to_numpy()
-    if left is right:
-        hit &= ~np.eye(len(left), dtype=bool)
-    a, b = np.nonzero(hit)
-    if not len(a):
-        return None
-    a, b = left[a], right[b]
-    if left is not right:
-        a, b = np.concatenate([a, b]), np.concatenate([b, a])
-    order = np.argsort(node, kind="stable")  # so that a root is the smallest node
-    rank = np.empty(len(node), int)
-    rank[order] = np.arange(len(node))
-    root = node[order[roots(len(node), rank[a], rank[b])]][rank]
-    count = np.bincount(a, size[b], len(node)).astype(np.int64)
-    at = np.unique(a)
-    return pa.record_batch([pa.array(node[at]), pa.array(count[at]), pa.array(root[at])], names=["node", "links", "root"])
-
-
 def candidates(batches, least: float, keys: list[str]):
     for table in groups(batches, keys):
         s = binary_rows(table.column("signature"), "<u2")
@@ -146,7 +123,7 @@ def candidates(batches, least: float, keys: list[str]):
         def agree(left: np.ndarray, right: np.ndarray) -> np.ndarray:
             return np.stack([(s[i] == s[right]).mean(1) >= least for i in left])
 
-        found = _linked(table, *pairs_of(table), agree, np.ones(len(s)))
+        found = linked(table, *pairs_of(table), agree, np.ones(len(s)))
         if found is not None:
             yield found.select(["node", "root"])
 
@@ -184,7 +161,7 @@ def verified(batches, threshold: float, keys: list[str]):
         table, sets = table.take(rows), [sets[i] for i in rows]
         left, right = pairs_of(table)
         if len(left) and len(right):
-            found = _linked(table, left, right, lambda a, b: similar(sets, a, b, threshold), table.column("size").to_numpy())
+            found = linked(table, left, right, lambda a, b: similar(sets, a, b, threshold), table.column("size").to_numpy())
             if found is not None:
                 yield found
 

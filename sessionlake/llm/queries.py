@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, jaccard, quality, toxicity, url_examples, urls
+from . import bpe, embeddings, jaccard, quality, toxicity, url_examples, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +26,27 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, digests=True)
 
 
+def op1_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.join(table(spark, sf_dir, "embeddings"))
+
+
+EMBEDDINGS_SQL = """
+WITH RECURSIVE links AS (
+  SELECT a.vec_id AS u, b.vec_id AS v FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id
+  WHERE list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.93
+), reached AS (
+  SELECT vec_id, vec_id AS to_id FROM embeddings
+  UNION
+  SELECT r.vec_id, l.v FROM reached r JOIN links l ON l.u = r.to_id
+), components AS (
+  SELECT vec_id, min(to_id) AS component_id FROM reached GROUP BY vec_id
+), counts AS (
+  SELECT u AS vec_id, count(*) AS n FROM links GROUP BY u
+)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, component_id = vec_id AS kept FROM components LEFT JOIN counts USING (vec_id)
+"""
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"))
 
@@ -151,6 +172,7 @@ SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN score >= {urls.THR
 
 
 QUERIES = {
+    "op1_embeddings": op1_embeddings,
     "op3_quality": op3_quality,
     "op4_toxicity": op4_toxicity,
     "op5_bpe": op5_bpe,
@@ -159,6 +181,7 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_embeddings": EMBEDDINGS_SQL,
     "op3_quality": QUALITY_SQL,
     "op6_jaccard": JACCARD_SQL,
     "op7_urls": URLS_SQL,
