@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embeddings, jaccard, quality, toxicity, url_examples, urls
+from . import bpe, embeddings, jaccard, packing, quality, toxicity, url_examples, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -171,6 +171,37 @@ SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN score >= {urls.THR
 """
 
 
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+PACKING_SQL = f"""
+WITH RECURSIVE lengths AS (
+  SELECT doc_id, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS n FROM documents
+), histogram AS (
+  SELECT n AS v, count(*) AS c FROM lengths GROUP BY n
+), sums AS (
+  SELECT row_number() OVER (ORDER BY v) AS j, v, sum(c) OVER (ORDER BY v)::BIGINT AS count, sum(c * v) OVER (ORDER BY v)::BIGINT AS total FROM histogram
+), best AS (
+  SELECT 1 AS k, j, v * count - total AS cost, [v] AS ends FROM sums
+  UNION ALL
+  SELECT any_value(b.k) + 1, s.j, min(b.cost + s.v * (s.count - p.count) - (s.total - p.total)),
+    arg_min(list_append(b.ends, s.v), (b.cost + s.v * (s.count - p.count) - (s.total - p.total), b.j))
+  FROM best b JOIN sums p ON p.j = b.j JOIN sums s ON s.j > b.j WHERE b.k < {packing.BUCKETS} GROUP BY s.j
+), chosen AS (
+  SELECT ends FROM best WHERE j = (SELECT max(j) FROM best) ORDER BY k DESC LIMIT 1
+), placed AS (
+  SELECT doc_id, n, len(list_filter(ends, lambda e: e < n)) AS bucket, ends[len(list_filter(ends, lambda e: e < n)) + 1] AS bucket_length, md5(doc_id::VARCHAR) AS place FROM lengths, chosen
+), ranked AS (
+  SELECT *, greatest(1, {packing.BUDGET} // greatest(1, bucket_length)) AS room, row_number() OVER (PARTITION BY bucket ORDER BY place, doc_id, n) - 1 AS rank FROM placed
+), firsts AS (
+  SELECT bucket, coalesce(sum(batches) OVER (ORDER BY bucket ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS first
+  FROM (SELECT bucket, ceil(count(*) / any_value(room)) AS batches FROM ranked GROUP BY bucket)
+)
+SELECT doc_id, n AS n_tokens, bucket::INT AS bucket, bucket_length, (first + rank // room)::BIGINT AS batch, rank % room AS slot FROM ranked JOIN firsts USING (bucket)
+"""
+
+
 QUERIES = {
     "op1_embeddings": op1_embeddings,
     "op3_quality": op3_quality,
@@ -178,6 +209,7 @@ QUERIES = {
     "op5_bpe": op5_bpe,
     "op6_jaccard": op6_jaccard,
     "op7_urls": op7_urls,
+    "op9_packing": op9_packing,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -185,4 +217,5 @@ ORACLE_SQL: dict[str, str] = {
     "op3_quality": QUALITY_SQL,
     "op6_jaccard": JACCARD_SQL,
     "op7_urls": URLS_SQL,
+    "op9_packing": PACKING_SQL,
 }

@@ -237,19 +237,21 @@ def score(docs: DataFrame, model: tuple[float, np.ndarray, np.ndarray], key: str
     spark = docs.sparkSession
     given = spark.sparkContext.broadcast(model)
 
+    kept = [key, *rest]
+    names = [f"c{i}" for i in range(len(kept))]
+    at = kept.index(text) if text in kept else len(kept)
+
     def run(batches):
         bias, buckets, w = given.value
         lookup = Lookup(buckets)
         for batch in batches:
-            texts, scores = [t or "" for t in batch.column(0).to_pylist()], []
+            texts, scores = [t or "" for t in batch.column(at).to_pylist()], []
             for i in range(0, len(texts), 500):
                 scores += [1 / (1 + math.exp(-max(-40.0, min(40.0, bias + float(w[sorted(f)].sum()))))) for f in lookup.features(texts[i : i + 500])]
-            yield pa.record_batch([pa.array(scores, pa.float64()), *batch.columns[1:]], names=["score", *names])
+            yield pa.record_batch([*batch.columns[: len(names)], pa.array(scores, pa.float64())], names=[*names, "score"])
 
-    kept = [key, *rest]
-    names = [f"c{i}" for i in range(len(kept))]
-    df = need(docs, text, *kept).toDF("text", *names)
-    schema = "score double, " + ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in names)
+    df = need(docs, *kept, *([text] if at == len(kept) else [])).toDF(*names, *(["text"] if at == len(kept) else []))
+    schema = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in names) + ", score double"
     return df.mapInArrow(run, schema).select(*[F.col(c).alias(k) for c, k in zip(names, kept)], "score")
 
 
