@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embeddings, jaccard, packing, quality, toxicity, url_examples, urls
+from . import bpe, embeddings, jaccard, packing, quality, toxicity, url_examples, urls, warc
+from .common import Workspace
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,6 +48,27 @@ SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, component_id = v
 """
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = Workspace(spark, "archives").path("warc")
+    warc.write(table(spark, sf_dir, "pages"), path, "page_id", "url", "html")
+    return warc.assemble(warc.read(spark, path)).select(
+        warc.capture_key(F.col("record_id"), "bigint").alias("page_id"), "payload_bytes", F.col("payload_sha1").alias("payload_digest"), F.col("type").alias("record_type"),
+        warc.capture_key(F.col("refers_to"), "bigint").alias("refers_to"), F.size("requests").alias("n_requests"), F.size("metadata").alias("n_metadata"),
+    )
+
+
+WARC_SQL = """
+WITH payloads AS (
+  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha1(encode(coalesce(html, ''))) AS digest FROM pages
+), firsts AS (
+  SELECT digest, max(page_id) AS first FROM payloads WHERE n >= 1000 GROUP BY digest
+)
+SELECT page_id, n::BIGINT AS payload_bytes, digest AS payload_digest, CASE WHEN first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN first <> page_id THEN first END AS refers_to, 1 AS n_requests, 1 AS n_metadata
+FROM payloads LEFT JOIN firsts USING (digest)
+"""
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"))
 
@@ -204,6 +226,7 @@ SELECT doc_id, n AS n_tokens, bucket::INT AS bucket, bucket_length, (first + ran
 
 QUERIES = {
     "op1_embeddings": op1_embeddings,
+    "op2_warc": op2_warc,
     "op3_quality": op3_quality,
     "op4_toxicity": op4_toxicity,
     "op5_bpe": op5_bpe,
@@ -214,6 +237,7 @@ QUERIES = {
 
 ORACLE_SQL: dict[str, str] = {
     "op1_embeddings": EMBEDDINGS_SQL,
+    "op2_warc": WARC_SQL,
     "op3_quality": QUALITY_SQL,
     "op6_jaccard": JACCARD_SQL,
     "op7_urls": URLS_SQL,
