@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embeddings, jaccard, packing, quality, toxicity, url_examples, urls, warc
+from . import bpe, embeddings, html_text, jaccard, licenses, packing, quality, toxicity, url_examples, urls, warc
 from .common import Workspace
 
 
@@ -193,6 +193,10 @@ SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN score >= {urls.THR
 """
 
 
+def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -224,6 +228,44 @@ SELECT doc_id, n AS n_tokens, bucket::INT AS bucket, bucket_length, (first + ran
 """
 
 
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.size("licenses").cast("bigint").alias("n_licenses"), F.array_join("licenses", ",").alias("licenses"))
+
+
+def _license_sizes() -> str:
+    scanner = licenses.Scanner(licenses.TEMPLATES)
+    sizes = {n: len([w for w in map(licenses.normal, t.encode().split()) if w]) - licenses.WORDS + 1 for n, t in licenses.TEMPLATES.items()}
+    return _values([(n, licenses.TEMPLATES[n], *licenses.window_of(sizes[n])) for n in scanner.names])
+
+
+LICENSES_SQL = f"""
+WITH given AS (
+  SELECT * FROM (VALUES {_license_sizes()}) v(license, text, win, stride)
+), texts AS (
+  SELECT 'd' AS kind, doc_id::VARCHAR AS id, text FROM documents UNION ALL SELECT 't', license, text FROM given
+), words AS (
+  SELECT kind, id, list_filter(list_transform(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+'),
+    lambda w: regexp_replace(regexp_replace(w, '^[^0-9a-z]+', ''), '[^0-9a-z]+$', '')), lambda w: w <> '') AS words FROM texts
+), grams AS (
+  SELECT kind, id, i - 1 AS place, array_to_string(words[i:i + 4], ' ') AS gram FROM (SELECT *, unnest(range(1, len(words) - 3)) AS i FROM words WHERE len(words) >= 5)
+), wanted AS (
+  SELECT DISTINCT id AS license, gram FROM grams WHERE kind = 't'
+), hits AS (
+  SELECT g.id, w.license, g.place, g.gram, win, stride FROM grams g JOIN wanted w USING (gram) JOIN given USING (license) WHERE g.kind = 'd'
+), windows AS (
+  SELECT id, license, gram, (place // stride - k) * stride AS start FROM (SELECT *, unnest(range(0, (win + stride - 1) // stride)) AS k FROM hits)
+  WHERE place // stride - k >= 0 AND (place // stride - k) * stride + win > place
+), matched AS (
+  SELECT DISTINCT id, license FROM (SELECT id, license, start, count(DISTINCT gram) AS n FROM windows GROUP BY ALL) JOIN (SELECT license, count(*) AS size FROM wanted GROUP BY license) USING (license)
+  WHERE n / size >= 0.8
+), listed AS (
+  SELECT id::BIGINT AS doc_id, count(*) AS n, string_agg(license, ',' ORDER BY license) AS licenses FROM matched GROUP BY id
+)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_licenses, coalesce(licenses, '') AS licenses FROM documents LEFT JOIN listed USING (doc_id)
+"""
+
+
 QUERIES = {
     "op1_embeddings": op1_embeddings,
     "op2_warc": op2_warc,
@@ -232,7 +274,9 @@ QUERIES = {
     "op5_bpe": op5_bpe,
     "op6_jaccard": op6_jaccard,
     "op7_urls": op7_urls,
+    "op8_html": op8_html,
     "op9_packing": op9_packing,
+    "op10_licenses": op10_licenses,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -242,4 +286,5 @@ ORACLE_SQL: dict[str, str] = {
     "op6_jaccard": JACCARD_SQL,
     "op7_urls": URLS_SQL,
     "op9_packing": PACKING_SQL,
+    "op10_licenses": LICENSES_SQL,
 }
