@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import need
+from .common import need, type_of
 
 #: Positions and ranks share a 64-bit sort key in the query.
 _RANK_SHIFT = 32
@@ -176,7 +176,7 @@ def encode(df: DataFrame, vocabulary_path: str, pattern: str, key: str = "doc_id
     spark = df.sparkSession
     with open(vocabulary_path, "rb") as f:  # on the driver; the file's size is fixed
         lines = spark.sparkContext.broadcast(f.read())
-    kind = df.schema[key].dataType
+    kind = type_of(df, key)
 
     def run(batches):
         import regex
@@ -212,7 +212,7 @@ def decode(df: DataFrame, vocabulary_path: str, key: str = "doc_id", ids: str =
     spark = df.sparkSession
     with open(vocabulary_path, "rb") as f:
         lines = spark.sparkContext.broadcast(f.read())
-    kind = df.schema[key].dataType
+    kind = type_of(df, key)
 
     def run(batches):
         con = Vocabulary(lines.value).connect()

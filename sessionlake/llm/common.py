@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -194,8 +195,15 @@ def binary_rows(column: pa.ChunkedArray | pa.Array, dtype: str) -> np.ndarray:
 
 
 def need(df: DataFrame, *columns: str) -> DataFrame:
-    """Only the named columns; so other columns, whatever their names, can't clash."""
-    return df.select(*[F.col(f"`{c}`") for c in columns])
+    """Only the named columns, found by their place; so other columns can have
+    any names, the same ones in other case or once more too."""
+    at = [df.columns.index(c) for c in columns]
+    plain = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+    return plain.select(*[F.col(f"c{i}").alias(c) for i, c in zip(at, columns)])
+
+
+def type_of(df: DataFrame, column: str) -> T.DataType:
+    return df.schema.fields[df.columns.index(column)].dataType
 
 
 def step(df: DataFrame, keep: list[str], **columns: Column) -> DataFrame:

@@ -15,8 +15,10 @@ count as links of each other.
 Defined cases: vectors link only where their labels are equal and not null and
 their lengths are equal; a vector that is null, empty, zero, or holds a null, a
 NaN or an infinity links with nothing; vectors of any length are hashed whole;
-repeated rows count as vectors that link with each other; an empty table gives
-an empty result; other columns of the input are ignored.
+repeated rows count as vectors that link with each other; rows whose key is
+null link with their copies only, and have a null component unless a copy has a
+key; an empty table gives an empty result; other columns of the input are
+ignored.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Workspace, binary_rows, by_group, connected_components, groups, in_blocks, linked, need, pairs_of
+from .common import Workspace, binary_rows, by_group, connected_components, groups, in_blocks, linked, need, pairs_of, type_of
 
 THRESHOLD = 0.93
 TARGET_RECALL = 0.9999
@@ -77,7 +79,9 @@ def codes(x: np.ndarray, table: int, functions: int) -> np.ndarray:
         loss.append(size[rows, top[:, :1]] - size[rows, top[:, 1:]])
     change, loss = np.concatenate(change, axis=1), np.concatenate(loss, axis=1)
     best = np.argsort(loss, axis=1, kind="stable")[:, :PROBES]
-    return np.concatenate([base[:, None], base[:, None] + np.take_along_axis(change, best, axis=1)], axis=1)
+    near = np.take_along_axis(change, best, axis=1)
+    near = np.pad(near, ((0, 0), (0, PROBES - near.shape[1])))  # very short vectors have fewer vertices
+    return np.concatenate([base[:, None], base[:, None] + near], axis=1)
 
 
 def tables_for(dim: int, functions: int, threshold: float, target: float, pairs: int = 2000) -> int:
@@ -95,7 +99,7 @@ def tables_for(dim: int, functions: int, threshold: float, target: float, pairs:
 
 def vectors(df: DataFrame, key: str, embedding: str, label: str) -> DataFrame:
     """``id, label, dim, digest, vector``; the last three are null for vectors that can't link."""
-    wide = isinstance(df.schema[embedding].dataType.elementType, T.DoubleType)
+    wide = isinstance(type_of(df, embedding).elementType, T.DoubleType)
     dtype = "<f8" if wide else "<f4"
 
     def run(batches):
@@ -112,7 +116,7 @@ def vectors(df: DataFrame, key: str, embedding: str, label: str) -> DataFrame:
             dims = pa.array(sizes, pa.int32(), mask=~good)
             yield pa.record_batch([batch.column(0), batch.column(1), dims, pa.array(digests, pa.binary()), pa.array(cells, pa.binary())], names=["id", "label", "dim", "digest", "vector"])
 
-    kinds = [df.schema[c].dataType.simpleString() for c in (key, label)]
+    kinds = [type_of(df, c).simpleString() for c in (key, label)]
     given = need(df, key, label, embedding).toDF("id", "label", "embedding")
     return given.mapInArrow(run, f"id {kinds[0]}, label {kinds[1]}, dim int, digest binary, vector binary")
 
@@ -138,7 +142,7 @@ def buckets(classes: DataFrame, tables: dict[int, int], functions: int, dtype: s
                         )
 
     kinds = [classes.schema[c].dataType.simpleString() for c in ("label", "node")]
-    given = classes.select("label", "dim", "node", "size", "vector")
+    given = classes.filter("node IS NOT NULL").select("label", "dim", "node", "size", "vector")
     return given.mapInArrow(run, f"label {kinds[0]}, dim int, tree int, code bigint, node {kinds[1]}, size bigint, vector binary, codes binary")
 
 
@@ -181,8 +185,8 @@ def join(df: DataFrame, key: str = "vec_id", embedding: str = "embedding", label
     """``key, n_links, component_id, kept`` for each row: how many other vectors
     it links with, the smallest key that links lead to, and whether that is its own."""
     ws = Workspace(df.sparkSession, "embeddings")
-    dtype = "<f8" if isinstance(df.schema[embedding].dataType.elementType, T.DoubleType) else "<f4"
-    kind = df.schema[key].dataType.simpleString()
+    dtype = "<f8" if isinstance(type_of(df, embedding).elementType, T.DoubleType) else "<f4"
+    kind = type_of(df, key).simpleString()
     found = vectors(df, key, embedding, label)
     able = found.filter("digest IS NOT NULL AND label IS NOT NULL")
     classes = ws.keep(
@@ -209,5 +213,5 @@ def join(df: DataFrame, key: str = "vec_id", embedding: str = "embedding", label
         F.col("id").alias(key),
         F.coalesce("links", F.lit(0)).cast("bigint").alias("n_links"),
         F.coalesce("component", "id").alias("component_id"),
-        (F.coalesce("component", "id") == F.col("id")).alias("kept"),
+        F.coalesce("component", "id").eqNullSafe(F.col("id")).alias("kept"),
     )

@@ -26,7 +26,7 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import need
+from .common import need, type_of
 
 #: The elements of HTML by how they are parsed and shown.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -363,5 +363,5 @@ def extract(pages: DataFrame, key: str = "page_id", page: str = "html") -> DataF
                 part = batch.slice(i, 500)
                 yield pa.record_batch([part.column(0), pa.array([text_of(p) for p in part.column(1).to_pylist()], pa.string())], names=[key, "text"])
 
-    kind = pages.schema[key].dataType.simpleString()
+    kind = type_of(pages, key).simpleString()
     return need(pages, key, page).mapInArrow(run, f"`{key}` {kind}, text string")

@@ -17,8 +17,9 @@ Defined cases: words are runs of anything but ASCII white space; a text of one
 to four words has all its words as its only n-gram; a null, empty or blank text
 links with nothing; a text of any length counts whole; repeated rows count as
 documents that link with each other; rows with the same key and different texts
-put their links together; an empty table gives an empty result; other columns
-of the input are ignored.
+put their links together; rows whose key is null link with their copies only,
+and have a null class unless a copy has a key; an empty table gives an empty
+result; other columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, binary_rows, by_group, connected_components, groups, in_blocks, linked, need, pairs_of
+from .common import Workspace, binary_rows, by_group, connected_components, groups, in_blocks, linked, need, pairs_of, type_of
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -113,7 +114,7 @@ def features(docs: DataFrame, key: str, text: str) -> DataFrame:
                 signatures.append(signature(s).tobytes() if len(s) else None)
             yield pa.record_batch([batch.column(0), pa.array(digests, pa.binary()), pa.array(signatures, pa.binary())], names=["id", "digest", "signature"])
 
-    return need(docs, key, text).toDF("id", "text").mapInArrow(run, f"id {docs.schema[key].dataType.simpleString()}, digest binary, signature binary")
+    return need(docs, key, text).toDF("id", "text").mapInArrow(run, f"id {type_of(docs, key).simpleString()}, digest binary, signature binary")
 
 
 def candidates(batches, least: float, keys: list[str]):
@@ -170,7 +171,7 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: fl
     """``key, n_links, class_id, kept`` for each row: how many other documents it
     links with, the smallest key that links lead to, and whether that is its own."""
     ws = Workspace(docs.sparkSession, "jaccard")
-    kind = docs.schema[key].dataType.simpleString()
+    kind = type_of(docs, key).simpleString()
     found = ws.keep(features(docs, key, text), "features")
     classes = ws.keep(
         found.filter("digest IS NOT NULL").groupBy("digest").agg(F.min("id").alias("node"), F.count("*").alias("size"), F.first("signature").alias("signature")),
@@ -178,7 +179,7 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: fl
     )
     k = prefix_length(threshold)
     trees = F.array(*[F.xxhash64(F.lit(t), F.substring("signature", t * DEPTH * 2 + 1, k * 2)) for t in range(TREES)])
-    places = classes.select("node", F.explode(trees).alias("place"))
+    places = classes.filter("node IS NOT NULL").select("node", F.explode(trees).alias("place"))
     shared = places.groupBy("place").agg(F.count("*").alias("members")).filter("members > 1").select("place")
     places = ws.keep(places.join(shared, "place"), "places")
     met = in_blocks(places, ["place"], "node", BUCKET_BLOCK).join(classes.select("node", "signature"), "node")
@@ -204,5 +205,5 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: fl
         F.col("id").alias(key),
         F.coalesce("links", F.lit(0)).cast("bigint").alias("n_links"),
         F.coalesce("component", "id").alias("class_id"),
-        (F.coalesce("component", "id") == F.col("id")).alias("kept"),
+        F.coalesce("component", "id").eqNullSafe(F.col("id")).alias("kept"),
     )

@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import need
+from .common import need, type_of
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -180,7 +180,7 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, key: str = "d
     that occur, and each place where one does."""
     templates = TEMPLATES if templates is None else templates
     given = docs.sparkSession.sparkContext.broadcast(templates)
-    kind = docs.schema[key].dataType.simpleString()
+    kind = type_of(docs, key).simpleString()
     match = pa.list_(pa.struct([("license", pa.string()), ("first_word", pa.int32()), ("n_words", pa.int32()), ("containment", pa.float64())]))
 
     def run(batches):

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, need
+from .common import Workspace, need, type_of
 
 MAX_PER_CLASS = 6_000
 MAX_FEATURES = 4_096
@@ -232,8 +232,8 @@ def train(docs: DataFrame, labels: DataFrame, may_learn: Column, key: str = "doc
     return bias, buckets, w
 
 
-def score(docs: DataFrame, model: tuple[float, np.ndarray, np.ndarray], key: str = "doc_id", text: str = "text", rest: tuple[str, ...] = ()) -> DataFrame:
-    """``key, score`` for each row, and the columns in ``rest``."""
+def score(docs: DataFrame, model: tuple[float, np.ndarray, np.ndarray], key: str = "doc_id", text: str = "text", rest: tuple[str, ...] = (), name: str = "score") -> DataFrame:
+    """``key, score`` for each row, and the columns in ``rest``; ``name`` is the score's."""
     spark = docs.sparkSession
     given = spark.sparkContext.broadcast(model)
 
@@ -252,7 +252,7 @@ def score(docs: DataFrame, model: tuple[float, np.ndarray, np.ndarray], key: str
 
     df = need(docs, *kept, *([text] if at == len(kept) else [])).toDF(*names, *(["text"] if at == len(kept) else []))
     schema = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in names) + ", score double"
-    return df.mapInArrow(run, schema).select(*[F.col(c).alias(k) for c, k in zip(names, kept)], "score")
+    return df.mapInArrow(run, schema).select(*[F.col(c).alias(k) for c, k in zip(names, kept)], F.col("score").alias(name))
 
 
 def held_out(key: Column) -> Column:
