@@ -19,7 +19,8 @@ from sessionlake.llm.common import Workspace
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), ~toxicity.held_out(F.col("id")))
     rest = tuple(c for c in docs.columns if c != "doc_id")
-    return toxicity.score(docs, model, rest=rest).filter(F.col("score") < toxicity.THRESHOLD).select(*docs.columns)
+    scored = toxicity.score(docs, model, rest=rest, name="__toxicity")
+    return scored.filter(F.col("__toxicity") < toxicity.THRESHOLD).select(*docs.columns)
 
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
