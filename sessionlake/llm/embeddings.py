@@ -133,11 +133,13 @@ def buckets(classes: DataFrame, tables: dict[int, int], functions: int, dtype: s
                 x /= np.linalg.norm(x, axis=1)[:, None]
                 every = np.stack([codes(x, t, functions) for t in range(tables[int(dim)])], axis=1).astype("<i8")
                 packed = pa.array([row.tobytes() for row in every], pa.binary())
-                n = len(x)
+                part = pa.RecordBatch.from_arrays([*part.columns, packed], names=[*part.schema.names, "codes"])
                 for t in range(every.shape[1]):
                     for p in range(every.shape[2]):
+                        at = np.flatnonzero(every[:, t, p] != every[:, t, 0]) if p else np.arange(len(x))
+                        own = part.take(pa.array(at))
                         yield pa.record_batch(
-                            [part.column(c) for c in ("label", "dim")] + [pa.array(np.full(n, t, np.int32)), pa.array(every[:, t, p])] + [part.column(c) for c in ("node", "size", "vector")] + [packed],
+                            [own.column("label"), own.column("dim"), pa.array(np.full(len(at), t, np.int32)), pa.array(every[at, t, p])] + [own.column(c) for c in ("node", "size", "vector", "codes")],
                             names=["label", "dim", "tree", "code", "node", "size", "vector", "codes"],
                         )
 
