@@ -53,15 +53,15 @@ def write(captures: DataFrame, path: str, key: str, url: str, payload: str, leas
     ws = Workspace(captures.sparkSession, "warc")
     given = need(captures, key, url, payload).toDF("id", "url", "payload")
     given = given.withColumn("payload", F.coalesce(F.col("payload").cast("binary"), F.lit(b"")))
-    given = given.withColumn("n", F.octet_length("payload").cast("bigint")).withColumn("same", F.sha2("payload", 256))
-    first = given.filter(F.col("n") >= least).groupBy("same").agg(F.max("id").alias("first"), F.count("*").alias("copies")).filter("copies > 1")
-    first = ws.keep(first.select("same", "first"), "first")  # Spark knows its size, and broadcasts it only if that allows
-    rows = given.join(first, "same", "left")
+    given = given.withColumn("n", F.octet_length("payload").cast("bigint")).withColumn("same", F.sha1("payload"))
+    first = given.filter(F.col("n") >= least).groupBy("same", "n").agg(F.max("id").alias("first"), F.count("*").alias("copies")).filter("copies > 1")
+    first = ws.keep(first.select("same", "n", "first"), "first")  # Spark knows its size, and broadcasts it only if that allows
+    rows = given.join(first, ["same", "n"], "left")
     urn = lambda of, kind: F.concat(F.lit("<urn:capture:"), F.coalesce(of.cast("string"), F.lit("")), F.lit(f":{kind}>"))
     answer = urn(F.col("id"), "response")
     target = F.coalesce(F.regexp_replace(F.regexp_replace("url", "\r", "%0D"), "\n", "%0A"), F.concat(F.lit("urn:capture:"), F.coalesce(F.col("id").cast("string"), F.lit(""))))
     about = [("WARC-Date", F.lit(date)), ("WARC-Target-URI", target)]
-    digest = [("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.sha1("payload")))]
+    digest = [("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("same")))]
     http = [("Content-Type", F.lit("application/http;msgtype=response"))]
     head = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("n").cast("string"), F.lit(END))
     again = F.coalesce(F.col("first") != F.col("id"), F.lit(False))
@@ -75,7 +75,8 @@ def write(captures: DataFrame, path: str, key: str, url: str, payload: str, leas
     said = F.concat(F.lit("payload-bytes: "), F.col("n").cast("string"), F.lit("\r\n"))
     metadata = _record("metadata", urn(F.col("id"), "metadata"), [*about, *concurrent, ("Content-Type", F.lit("application/warc-fields"))], said)
     records = rows.select(F.explode(F.array(response, request, metadata)).alias("value"))
-    records.write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+    options = {"lineSep": END, "compression": "gzip", "zlib.compress.level": "BEST_SPEED", "maxRecordsPerFile": RECORDS_PER_FILE}
+    records.write.options(**options).text(path)
     ws.close()
 
 
@@ -190,7 +191,9 @@ def transactions(records: DataFrame) -> DataFrame:
 
 def assemble(records: DataFrame) -> DataFrame:
     """One nested row for each response, revisit or resource record: its fields,
-    and its ``requests`` and ``metadata`` records, as arrays of structs."""
+    and its ``requests`` and ``metadata`` records, as arrays of structs.  The
+    records are kept in a table first, so that archives are read once."""
+    records = Workspace(records.sparkSession, "warc").keep(records, "records")
     is_anchor = F.col("type").isin(*ANCHORS)
     one = F.struct("record_id", "date", "target_uri", "headers", "payload")
     other = records.filter(~is_anchor).join(transactions(records.select("record_id", "type", "concurrent_to")), "record_id").dropDuplicates(["record_id", "anchor"])
