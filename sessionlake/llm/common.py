@@ -97,16 +97,17 @@ def connected_components(ws: Workspace, edges: DataFrame, rounds: int = 60) -> D
     )
 
 
-def in_blocks(rows: DataFrame, keys: list[str], id_col: str, block: int) -> DataFrame:
+def in_blocks(ws: Workspace, rows: DataFrame, keys: list[str], id_col: str, block: int, counted: DataFrame | None = None) -> DataFrame:
     """Deals the members of each key to pairs of blocks of about ``block`` rows.
 
     Adds ``side`` (the row's own block) and ``b1 <= b2`` (the pair of blocks it
     is sent to).  A key with at most ``block`` rows has the one pair (0, 0), so
     only hot keys are copied, once per block.  The table of hot keys has at most
-    rows / block entries; Spark broadcasts it only if its size allows.
+    rows / block entries; it is kept first, so that Spark knows its size, and
+    broadcasts it only if that allows.  ``counted`` may have the keys alone.
     """
-    hot = rows.groupBy(*keys).agg(F.count("*").alias("members")).filter(F.col("members") > block)
-    hot = hot.select(*keys, F.ceil(F.col("members") / block).cast("int").alias("parts"))
+    hot = (rows if counted is None else counted).groupBy(*keys).agg(F.count("*").alias("members")).filter(F.col("members") > block)
+    hot = ws.keep(hot.select(*keys, F.ceil(F.col("members") / block).cast("int").alias("parts")), "hot")
     dealt = rows.join(hot, keys, "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     dealt = dealt.withColumn("side", F.pmod(F.xxhash64(F.lit(7), F.col(id_col)), F.col("parts")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))

@@ -4,8 +4,8 @@ Each table of the index turns a vector by rounds of random signs and fast
 Hadamard transforms, and hashes it to the nearest vertices of the cross
 polytope; it also probes the buckets of the next nearest vertices.  Vectors
 that meet in a bucket are verified by their exact cosine in double precision.
-The number of functions follows the number of vectors, so that buckets stay
-small; the number of tables is what the target recall asks for at the
+The number of functions follows the number of vectors of a label, so that
+buckets stay small; the number of tables is what the target recall asks for at the
 threshold.  A pair is counted only in the first bucket where it meets, and a
 task returns a row for each member with links, never the pairs themselves.
 
@@ -37,7 +37,7 @@ from .common import Workspace, binary_rows, by_group, connected_components, grou
 THRESHOLD = 0.93
 TARGET_RECALL = 0.9999
 ROUNDS = 3
-PROBES = 2
+PROBES = 1
 
 #: Vectors that a bucket should hold on average, and members of a block.
 BUCKET = 64
@@ -121,8 +121,13 @@ def vectors(df: DataFrame, key: str, embedding: str, label: str) -> DataFrame:
     return given.mapInArrow(run, f"id {kinds[0]}, label {kinds[1]}, dim int, digest binary, vector binary")
 
 
-def buckets(classes: DataFrame, tables: dict[int, int], functions: int, dtype: str) -> DataFrame:
-    """A row of each class for each bucket that it is in or probes."""
+KEYS = ["label", "dim", "tree", "code"]
+
+
+def buckets(classes: DataFrame, tables: dict[int, int], functions: int, dtype: str, small: str, whole: bool = True) -> DataFrame:
+    """A row of each class for each bucket that it is in or probes; the bucket
+    alone, unless ``whole``."""
+    rest = ["node", "size", "vector", "codes"] if whole else []
 
     def run(batches):
         for batch in batches:
@@ -131,21 +136,22 @@ def buckets(classes: DataFrame, tables: dict[int, int], functions: int, dtype: s
                 part = batch.take(pa.array(np.flatnonzero(dims == dim)))
                 x = binary_rows(part.column("vector"), dtype).astype(float)
                 x /= np.linalg.norm(x, axis=1)[:, None]
-                every = np.stack([codes(x, t, functions) for t in range(tables[int(dim)])], axis=1).astype("<i8")
-                packed = pa.array([row.tobytes() for row in every], pa.binary())
+                every = np.stack([codes(x, t, functions) for t in range(tables[int(dim)])], axis=1)
+                packed = pa.array([row.tobytes() for row in every.astype(small)], pa.binary())
                 part = pa.RecordBatch.from_arrays([*part.columns, packed], names=[*part.schema.names, "codes"])
                 for t in range(every.shape[1]):
                     for p in range(every.shape[2]):
                         at = np.flatnonzero(every[:, t, p] != every[:, t, 0]) if p else np.arange(len(x))
                         own = part.take(pa.array(at))
                         yield pa.record_batch(
-                            [own.column("label"), own.column("dim"), pa.array(np.full(len(at), t, np.int32)), pa.array(every[at, t, p])] + [own.column(c) for c in ("node", "size", "vector", "codes")],
-                            names=["label", "dim", "tree", "code", "node", "size", "vector", "codes"],
+                            [own.column("label"), own.column("dim"), pa.array(np.full(len(at), t, np.int32)), pa.array(every[at, t, p])] + [own.column(c) for c in rest],
+                            names=[*KEYS, *rest],
                         )
 
     kinds = [classes.schema[c].dataType.simpleString() for c in ("label", "node")]
     given = classes.filter("node IS NOT NULL").select("label", "dim", "node", "size", "vector")
-    return given.mapInArrow(run, f"label {kinds[0]}, dim int, tree int, code bigint, node {kinds[1]}, size bigint, vector binary, codes binary")
+    more = f", node {kinds[1]}, size bigint, vector binary, codes binary" if whole else ""
+    return given.mapInArrow(run, f"label {kinds[0]}, dim int, tree int, code bigint{more}")
 
 
 def first_meeting(own: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -159,11 +165,11 @@ def first_meeting(own: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.nda
     return table, code[np.arange(len(a)), table]
 
 
-def close(batches, threshold: float, dtype: str, keys: list[str]):
+def close(batches, threshold: float, dtype: str, small: str, keys: list[str]):
     for table in groups(batches, keys):
         x = binary_rows(table.column("vector"), dtype).astype(float)
         x /= np.linalg.norm(x, axis=1)[:, None]
-        packed = binary_rows(table.column("codes"), "<i8").reshape(len(x), -1, PROBES + 1) if table.num_rows else None
+        packed = binary_rows(table.column("codes"), small).astype(np.int64).reshape(len(x), -1, PROBES + 1)
         tree, code = table.column("tree")[0].as_py(), table.column("code")[0].as_py()
 
         def hits(left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -194,16 +200,18 @@ def join(df: DataFrame, key: str = "vec_id", embedding: str = "embedding", label
     classes = ws.keep(
         able.groupBy("label", "dim", "digest").agg(F.min("id").alias("node"), F.count("*").alias("size"), F.first("vector").alias("vector")), "classes"
     )
-    dims = {r.dim: r.n for r in classes.groupBy("dim").agg(F.count("*").alias("n")).collect()}  # a row for each length of vector
+    sizes = classes.groupBy("dim", "label").agg(F.count("*").alias("n"))
+    dims = {r.dim: r.n for r in sizes.groupBy("dim").agg(F.max("n").alias("n")).collect()}  # a row for each length of vector
     most = max(dims.values(), default=0)
     widest = 2 << max(1, (max(dims, default=2) - 1).bit_length())
     functions = max(1, math.ceil(math.log(max(most, 1) / BUCKET) / math.log(widest)))
     functions = min(functions, 62 // (widest.bit_length() - 1))
+    small = "<i4" if widest**functions < 1 << 31 else "<i8"  # what holds any bucket
     tables = {d: tables_for(d, functions, threshold, target) for d in dims}
-    keys = ["label", "dim", "tree", "code"]
-    met = in_blocks(buckets(classes, tables, functions, dtype), keys, "node", BLOCK)
-    keys = [*keys, "b1", "b2"]
-    links = by_group(met, keys).mapInArrow(lambda b: close(b, threshold, dtype, keys), f"node {kind}, links bigint, root {kind}")
+    made = [buckets(classes, tables, functions, dtype, small, whole) for whole in (True, False)]
+    met = in_blocks(ws, made[0], KEYS, "node", BLOCK, counted=made[1])
+    keys = [*KEYS, "b1", "b2"]
+    links = by_group(met, keys).mapInArrow(lambda b: close(b, threshold, dtype, small, keys), f"node {kind}, links bigint, root {kind}")
     links = ws.keep(links, "links")
     component = connected_components(ws, links.select(F.col("node").alias("u"), F.col("root").alias("v")))
     total = links.groupBy("node").agg(F.sum("links").alias("links"))
