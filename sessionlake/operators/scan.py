@@ -6,11 +6,11 @@ import difflib
 import os
 from collections.abc import Iterable, Mapping
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..constants import PROVENANCE, SESSION_PATH, TABLE_INDEX, ColumnError, InternalPathError, normalise
+from ..constants import PROVENANCE, SESSION_PATH, TABLE_INDEX, TABLE_PATH, ColumnError, InternalPathError, normalise
 from ..plans.schema import describe, struct_of, voted
 from ..sources import datasource
 from ..sources.container import open_container, resolved
@@ -204,14 +204,28 @@ def row_subset(df: DataFrame, wanted: DataFrame, keys: tuple[str, ...] = (SESSIO
     return df.join(wanted.select(*keys), list(keys), "left_semi")
 
 
-def with_provenance(df: DataFrame, session: Column, table: str, order: Iterable[str]) -> DataFrame:
+def with_provenance(df: DataFrame, session: Column, table: str, order: Iterable[str], ranges: int = 0) -> DataFrame:
     """Adds the provenance columns to rows that have none: the row's index counts
-    the session's rows in the given order."""
-    from pyspark.sql import Window
+    the session's rows in the given order.
 
+    With ``ranges``, which takes a numeric first column of the order, rows are
+    counted in so many ranges of that column, and the ranges' sizes are added up,
+    so that a session that holds most rows isn't sorted by one task.
+    """
+    order = list(order)
     df = df.withColumn(SESSION_PATH, session)
-    rank = F.row_number().over(Window.partitionBy(SESSION_PATH).orderBy(*order)) - 1
-    return df.withColumn("_table_path", F.lit(table)).withColumn(TABLE_INDEX, rank.cast("bigint"))
+    keys = [SESSION_PATH]
+    if ranges > 1:
+        splits = df.select(F.percentile_approx(order[0], [i / ranges for i in range(1, ranges)], 10_000).alias("s")).first().s or []
+        df = df.withColumn("__range", F.size(F.filter(F.array(*[F.lit(x) for x in sorted(set(splits))]), lambda x: x < F.col(order[0]))) if splits else F.lit(0))
+        sizes = df.groupBy(SESSION_PATH, "__range").agg(F.count("*").alias("n"))
+        before = F.sum("n").over(Window.partitionBy(SESSION_PATH).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1))
+        df = df.join(sizes.select(SESSION_PATH, "__range", F.coalesce(before, F.lit(0)).alias("__before")), [SESSION_PATH, "__range"])
+        keys.append("__range")
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1
+    if ranges > 1:
+        rank = rank + F.col("__before")
+    return df.withColumn(TABLE_PATH, F.lit(table)).withColumn(TABLE_INDEX, rank.cast("bigint")).drop("__range", "__before")
 
 
 def diagonal_union(*frames: DataFrame) -> DataFrame:

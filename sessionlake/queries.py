@@ -26,6 +26,7 @@ QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
 HOUR = 3_600_000_000
+FEW = 60  # events of a unit
 MICROS = "timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)"
 SESSION = "concat('session_', CAST(user_id % 4 AS STRING), '.nwb')"
 
@@ -49,14 +50,15 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan.with_provenance(table(spark, sf_dir, "events"), F.expr(SESSION), "events", ["event_id"])
+    return scan.with_provenance(table(spark, sf_dir, "events"), F.expr(SESSION), "events", ["event_id"], ranges=64)
 
 
 def units(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A row for each user, with its event times, and observed in the first half of them."""
+    """A row for each user, with its event times; observed in the first half of
+    them, and without observations where they are few."""
     rows = arrays.assemble_ragged(events(spark, sf_dir), [SESSION_PATH, "user_id"], "us", ["us"], "spike_times")
     low, high = F.array_min("spike_times"), F.array_max("spike_times")
-    seen = F.when(F.col("user_id") % 5 == 0, F.array().cast("array<array<bigint>>")).otherwise(F.array(F.array(low, F.floor((low + high) / 2).cast("bigint"))))
+    seen = F.when(F.size("spike_times") < FEW, F.array().cast("array<array<bigint>>")).otherwise(F.array(F.array(low, F.floor((low + high) / 2).cast("bigint"))))
     return rows.withColumn("obs_intervals", seen).withColumnRenamed("user_id", TABLE_INDEX)
 
 
@@ -66,7 +68,7 @@ def trials(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _EVENTS = "(SELECT *, 'session_' || (user_id % 4) || '.nwb' AS s, epoch_us(ts) AS us FROM events)"
-_UNITS = f"""(SELECT s, user_id, list(us ORDER BY us) AS times, min(us) AS low, CASE WHEN user_id % 5 = 0 THEN NULL ELSE (min(us) + max(us)) // 2 END AS seen_to FROM {_EVENTS} GROUP BY s, user_id)"""
+_UNITS = f"""(SELECT s, user_id, list(us ORDER BY us) AS times, min(us) AS low, CASE WHEN count(*) < {FEW} THEN NULL ELSE (min(us) + max(us)) // 2 END AS seen_to FROM {_EVENTS} GROUP BY s, user_id)"""
 _TRIALS = f"(SELECT s, event_id, user_id AS own, us AS start_time, us + {HOUR} AS stop_time, value FROM {_EVENTS} WHERE event_type = 'signup')"
 _NUMBERED = f"(SELECT *, row_number() OVER (PARTITION BY s ORDER BY event_id) - 1 AS i FROM {_EVENTS})"
 _PAIRS = f"""SELECT u.s, u.user_id, t.event_id, t.start_time, t.stop_time, low, seen_to, count(e.us) AS n, coalesce(sum(e.us - t.start_time), 0) AS total
@@ -148,10 +150,10 @@ def late_materialize_join(spark, d):
     return found.select("vec_id", "label", F.size("embedding").alias("n"), F.round(F.get("embedding", F.lit(0)).cast("double"), 6).alias("first"))
 
 
-@query(f"SELECT s AS _nwb_path, user_id, CASE WHEN user_id % 2 = 0 THEN len(times)::INT END AS n, CASE WHEN user_id % 2 = 0 THEN list_sum(times)::BIGINT END AS total FROM {_UNITS}")
+@query(f"SELECT s AS _nwb_path, user_id, CASE WHEN len(times) >= {FEW} THEN len(times)::INT END AS n, CASE WHEN len(times) >= {FEW} THEN list_sum(times)::BIGINT END AS total FROM {_UNITS}")
 def merge_array_column(spark, d):
     us = units(spark, d)
-    out = arrays.merge_array_column(us.select(SESSION_PATH, TABLE_INDEX), us.filter(F.col(TABLE_INDEX) % 2 == 0), "spike_times")
+    out = arrays.merge_array_column(us.select(SESSION_PATH, TABLE_INDEX), us.filter(F.size("spike_times") >= FEW), "spike_times")
     total = F.aggregate("spike_times", F.lit(0).cast("bigint"), lambda a, x: a + x)
     return out.select(SESSION_PATH, F.col(TABLE_INDEX).alias("user_id"), F.when(F.col("spike_times").isNotNull(), F.size("spike_times")).alias("n"), total.alias("total"))
 
@@ -188,42 +190,43 @@ def masked_counts(spark, d):
     return _counts(spark, d, as_counts=True)
 
 
-@query(f"SELECT event_id FROM {_TRIALS} WHERE own % 3 <> 0")
+@query(f"SELECT event_id FROM {_TRIALS} ANTI JOIN {_UNITS} u ON u.user_id = own AND len(times) >= {FEW}")
 def anti_join_check(spark, d):
-    return intervals.unknown_units(trials(spark, d), units(spark, d).filter(F.col(TABLE_INDEX) % 3 == 0)).select(F.col(TABLE_INDEX).alias("event_id"))
+    return intervals.unknown_units(trials(spark, d), units(spark, d).filter(F.size("spike_times") >= FEW)).select(F.col(TABLE_INDEX).alias("event_id"))
 
 
-_A = f"(SELECT s, count(*) AS n FROM {_EVENTS} WHERE event_type = 'signup' GROUP BY s)"
-_B = f"(SELECT s, max(value) AS most FROM {_EVENTS} WHERE user_id % 4 < 3 GROUP BY s)"
+_A = "(SELECT user_id, count(*) AS n FROM events WHERE event_type = 'signup' AND value > 100 GROUP BY user_id)"
+_B = "(SELECT user_id, max(value) AS most FROM events WHERE event_type = 'purchase' AND value > 150 GROUP BY user_id)"
 
 
 def _sides(spark, d):
     e = events(spark, d)
-    return e.filter("event_type = 'signup'").groupBy(SESSION_PATH).agg(F.count("*").alias("n")), e.filter("user_id % 4 < 3").groupBy(SESSION_PATH).agg(F.max("value").alias("most"))
+    a = e.filter("event_type = 'signup' AND value > 100").groupBy("user_id").agg(F.count("*").alias("n"))
+    return a, e.filter("event_type = 'purchase' AND value > 150").groupBy("user_id").agg(F.max("value").alias("most"))
 
 
-@query(f"SELECT s AS _nwb_path, n, most FROM {_A} LEFT JOIN {_B} USING (s)")
+@query(f"SELECT user_id, n, most FROM {_A} LEFT JOIN {_B} USING (user_id)")
 def join_scans_left(spark, d):
     a, b = _sides(spark, d)
-    return a.join(b, SESSION_PATH, "left")
+    return a.join(b, "user_id", "left")
 
 
-@query(f"SELECT s AS _nwb_path, n, most FROM {_A} JOIN {_B} USING (s)")
+@query(f"SELECT user_id, n, most FROM {_A} JOIN {_B} USING (user_id)")
 def join_scans_inner(spark, d):
     a, b = _sides(spark, d)
-    return a.join(b, SESSION_PATH)
+    return a.join(b, "user_id")
 
 
-@query(f"SELECT s AS _nwb_path, n, NULL::DOUBLE AS most FROM {_A}")
+@query(f"SELECT user_id, n, NULL::DOUBLE AS most FROM {_A}")
 def empty_scan_join(spark, d):
     a, b = _sides(spark, d)
-    return a.join(b.filter("most IS NULL"), SESSION_PATH, "left")
+    return a.join(b.filter("most IS NULL"), "user_id", "left")
 
 
-@query(f"SELECT coalesce(a.s, b.s) AS _nwb_path, n, most FROM {_A} a FULL JOIN {_B} b ON a.s = b.s")
+@query(f"SELECT coalesce(a.user_id, b.user_id) AS user_id, n, most FROM {_A} a FULL JOIN {_B} b ON a.user_id = b.user_id")
 def join_scans_full(spark, d):
     a, b = _sides(spark, d)
-    return a.join(b, SESSION_PATH, "full")
+    return a.join(b, "user_id", "full")
 
 
 @query("SELECT c_custkey FROM customer SEMI JOIN orders ON o_custkey = c_custkey AND o_orderstatus = 'F'")
@@ -339,16 +342,16 @@ def ragged_assemble(spark, d):
     return rows.select("l_orderkey", F.size("items").alias("n"), F.round(F.get("items", F.lit(0)), 2).alias("first"), F.round(F.element_at("items", -1), 2).alias("last"))
 
 
-@query(f"SELECT s AS _nwb_path, user_id, len(times)::INT AS n, times[1] AS first FROM {_UNITS}")
+@query("SELECT l_orderkey, l_returnflag, count(*)::INT AS n, round(sum(l_extendedprice), 2) AS total FROM lineitem GROUP BY l_orderkey, l_returnflag")
 def ragged_slices(spark, d):
-    """All event times of a session in one array, dealt out by end offsets again."""
-    us = units(spark, d)
-    item = F.struct(F.col(TABLE_INDEX).alias("u"), F.col("spike_times").alias("t"))
-    whole = us.groupBy(SESSION_PATH).agg(F.array_sort(F.collect_list(item)).alias("x"))
-    ends = F.transform("x", lambda v, i: F.aggregate(F.slice("x", F.lit(1), i + 1), F.lit(0), lambda a, y: a + F.size(y["t"])))
-    whole = whole.select(SESSION_PATH, F.col("x.u").alias("u"), F.flatten("x.t").alias("values"), ends.alias("ends"))
-    rows = whole.select(SESSION_PATH, F.inline(F.arrays_zip("u", arrays.slices(F.col("values"), F.col("ends")).alias("t"))))
-    return rows.select(SESSION_PATH, F.col("u").alias("user_id"), F.size("t").alias("n"), F.get("t", F.lit(0)).alias("first"))
+    """All prices of an order in one array, dealt out by the flags' end offsets again."""
+    rows = arrays.assemble_ragged(table(spark, d, "lineitem"), ["l_orderkey", "l_returnflag"], "l_extendedprice", ["l_linenumber"], "items")
+    rows = rows.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_returnflag", "items"))).alias("x"))
+    ends = F.aggregate("x", F.array().cast("array<int>"), lambda a, y: F.concat(a, F.array(F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(0)) + F.size(y["items"]))))
+    whole = rows.select("l_orderkey", F.col("x.l_returnflag").alias("l_returnflag"), F.flatten("x.items").alias("values"), ends.alias("ends"))
+    back = whole.select("l_orderkey", F.inline(F.arrays_zip("l_returnflag", arrays.slices(F.col("values"), F.col("ends")).alias("items"))))
+    total = F.aggregate("items", F.lit(0.0), lambda a, x: a + x)
+    return back.select("l_orderkey", "l_returnflag", F.size("items").alias("n"), F.round(total, 2).alias("total"))
 
 
 @query("""SELECT l_suppkey, count(*)::INT AS outer_n, sum(n)::INT AS inner_n, max(n)::INT AS longest FROM (SELECT l_suppkey, l_orderkey, count(*) AS n FROM lineitem GROUP BY ALL) GROUP BY l_suppkey""")

@@ -325,6 +325,22 @@ def test_containers(two, tmp_path):
         open_container(two[0])["nothing"]
 
 
+def test_sessions_on_the_web(spark, two):
+    import functools
+    import http.server
+    import threading
+
+    quiet = type("Quiet", (http.server.SimpleHTTPRequestHandler,), {"log_message": lambda *a: None})
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), functools.partial(quiet, directory=os.path.dirname(two[0])))
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        url = f"http://127.0.0.1:{server.server_port}/{os.path.basename(two[0])}"
+        df = S.scan(spark, url, "units", columns="spike_times")
+        assert df.count() == 4 and df.first()["_nwb_path"] == url
+    finally:
+        server.shutdown()
+
+
 def test_codecs():
     import bz2
     import lzma
