@@ -1,4 +1,4 @@
-"""HDF5 containers, where the h5py library is installed."""
+"""HDF5 containers: by the h5py library, or by the plain reader without it."""
 
 from __future__ import annotations
 
@@ -47,11 +47,13 @@ class Group(container.Group):
         return Group(found) if hasattr(found, "keys") else Array(found)
 
 
-def open_root(path: str) -> Group:
-    try:
-        import h5py
-    except ImportError as e:
-        raise ImportError(f"{path} looks like HDF5, which needs the h5py library") from e
+def open_root(path: str) -> container.Group:
     if "://" in path:
         raise ValueError(f"{path}: HDF5 is read from file systems; mount the store, or convert the file to Zarr")
+    try:
+        import h5py
+    except ImportError:
+        from . import hdf5_plain
+
+        return hdf5_plain.open_root(path)
     return Group(h5py.File(path, "r"))

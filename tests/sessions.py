@@ -81,8 +81,8 @@ def spikes(session, unit):
     return [round(0.1 * (unit + 1) * k + 0.01 * session, 6) for k in range(40 + unit)]
 
 
-def write(path, n=0, consolidated=True, **more):
-    w = Writer(path)
+def write(path, n=0, consolidated=True, writer=Writer, **more):
+    w = writer(path)
     w.group("", neurodata_type="NWBFile", namespace="core", object_id=f"o{n}")
     w.array("identifier", f"id-{n}")
     w.array("session_description", "a session")
