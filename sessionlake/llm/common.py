@@ -3,6 +3,8 @@ connected components, and comparison of group members in bounded blocks."""
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -29,22 +31,23 @@ def shared_dir(spark: SparkSession) -> str:
 class Workspace:
     """Tables written under the shared folder; writing one cuts its lineage.
 
-    What a returned lazy result still reads stays until ``close``; tables that
-    only fed a later table are dropped at once.
+    What a returned lazy result still reads stays until ``close``, or the end
+    of the driver; tables that only fed a later table are dropped at once.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self.number = 0
+        atexit.register(self._forget)
 
     def path(self, label: str) -> str:
         self.number += 1
         return f"{self.root}/{self.number:03d}-{label}"
 
-    def keep(self, df: DataFrame, label: str) -> DataFrame:
+    def keep(self, df: DataFrame, label: str, compression: str = "snappy") -> DataFrame:
         path = self.path(label)
-        df.write.parquet(path)
+        df.write.option("compression", compression).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._workspace_path = path
         return out
@@ -59,8 +62,13 @@ class Workspace:
         where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
 
     def close(self) -> None:
+        atexit.unregister(self._forget)
         self.remove(self.root)
 
+    def _forget(self) -> None:
+        with contextlib.suppress(Exception):  # Spark may have ended before
+            self.remove(self.root)
+
 
 def connected_components(ws: Workspace, edges: DataFrame, rounds: int = 60) -> DataFrame:
     """``(node, component)`` for every node of ``edges(u, v)``; component is the
