@@ -193,7 +193,7 @@ def assemble(records: DataFrame) -> DataFrame:
     """One nested row for each response, revisit or resource record: its fields,
     and its ``requests`` and ``metadata`` records, as arrays of structs.  The
     records are kept in a table first, so that archives are read once."""
-    records = Workspace(records.sparkSession, "warc").keep(records, "records")
+    records = Workspace(records.sparkSession, "warc").keep(records, "records", "zstd")
     is_anchor = F.col("type").isin(*ANCHORS)
     one = F.struct("record_id", "date", "target_uri", "headers", "payload")
     other = records.filter(~is_anchor).join(transactions(records.select("record_id", "type", "concurrent_to")), "record_id").dropDuplicates(["record_id", "anchor"])
