@@ -180,14 +180,15 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: fl
     k = prefix_length(threshold)
     trees = F.array(*[F.xxhash64(F.lit(t), F.substring("signature", t * DEPTH * 2 + 1, k * 2)) for t in range(TREES)])
     places = classes.filter("node IS NOT NULL").select("node", F.explode(trees).alias("place"))
-    shared = places.groupBy("place").agg(F.count("*").alias("members")).filter("members > 1").select("place")
+    # kept, so that a hot place is split when the two are joined
+    shared = ws.keep(places.groupBy("place").agg(F.count("*").alias("members")).filter("members > 1").select("place"), "shared")
     places = ws.keep(places.join(shared, "place"), "places")
     met = in_blocks(ws, places, ["place"], "node", BUCKET_BLOCK).join(classes.select("node", "signature"), "node")
     least = threshold - SLACK * math.sqrt(threshold * (1 - threshold) / (TREES * DEPTH))
     keys = ["place", "b1", "b2"]
     edges = by_group(met.select(*keys, "side", "node", "signature"), keys).mapInArrow(lambda b: candidates(b, least, keys), f"node {kind}, root {kind}")
     edges = ws.keep(edges.filter("node <> root").distinct(), "candidates")
-    ws.drop(places)
+    ws.drop(places, shared)
     near = connected_components(ws, edges.select(F.col("node").alias("u"), F.col("root").alias("v")))
     near = ws.keep(in_blocks(ws, near, ["component"], "node", GROUP_BLOCK).join(classes.select("node", "size"), "node"), "groups")
     texts = need(docs, key, text).toDF("node", "text").join(near, "node")
