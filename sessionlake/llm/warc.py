@@ -32,7 +32,8 @@ from .common import Workspace, need
 #: Equal payloads below this size are stored again.
 LEAST_REVISIT = 1_000
 
-RECORDS_PER_FILE = 15_000
+#: Payload bytes that a file should hold; a reader has one file in memory.
+FILE_BYTES = 48_000_000
 END = "\r\n\r\n"
 IDENTICAL = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 ANCHORS = ("response", "revisit", "resource")
@@ -56,6 +57,8 @@ def write(captures: DataFrame, path: str, key: str, url: str, payload: str, leas
     given = given.withColumn("n", F.octet_length("payload").cast("bigint")).withColumn("same", F.sha1("payload"))
     first = given.filter(F.col("n") >= least).groupBy("same", "n").agg(F.max("id").alias("first"), F.count("*").alias("copies")).filter("copies > 1")
     first = ws.keep(first.select("same", "n", "first"), "first")  # Spark knows its size, and broadcasts it only if that allows
+    mean = given.agg(F.avg("n")).first()[0] or 0.0
+    records_per_file = 3 * max(1, min(5_000, int(FILE_BYTES / (mean + 1_000))))
     rows = given.join(first, ["same", "n"], "left")
     urn = lambda of, kind: F.concat(F.lit("<urn:capture:"), F.coalesce(of.cast("string"), F.lit("")), F.lit(f":{kind}>"))
     answer = urn(F.col("id"), "response")
@@ -75,7 +78,7 @@ def write(captures: DataFrame, path: str, key: str, url: str, payload: str, leas
     said = F.concat(F.lit("payload-bytes: "), F.col("n").cast("string"), F.lit("\r\n"))
     metadata = _record("metadata", urn(F.col("id"), "metadata"), [*about, *concurrent, ("Content-Type", F.lit("application/warc-fields"))], said)
     records = rows.select(F.explode(F.array(response, request, metadata)).alias("value"))
-    options = {"lineSep": END, "compression": "gzip", "zlib.compress.level": "BEST_SPEED", "maxRecordsPerFile": RECORDS_PER_FILE}
+    options = {"lineSep": END, "compression": "gzip", "zlib.compress.level": "BEST_SPEED", "maxRecordsPerFile": records_per_file}
     records.write.options(**options).text(path)
     ws.close()
 
