@@ -211,6 +211,8 @@ class Array(Node, container.Array):
         self.dtype, self.shape = self.kind.dtype, shape_of(self.part(DATASPACE)) or ()
         self.filters = self._filters(self.part(FILTERS))
         self._chunks: list | None = None
+        # batches follow each other, so the last chunk is often the next one's first
+        self._last: tuple[int, np.ndarray] | None = None
 
     @staticmethod
     def _filters(data: bytes | None) -> list[int]:
@@ -296,8 +298,10 @@ class Array(Node, container.Array):
         for first, size, mask, address in places:
             if first[0] + chunk[0] <= start or first[0] >= stop:
                 continue
-            raw = self._unfiltered(self.file.read(address, size), mask)
-            values = decoded(self.file, self.kind, raw, int(np.prod(chunk, dtype=int))).reshape(chunk)
+            if self._last is None or self._last[0] != address:
+                raw = self._unfiltered(self.file.read(address, size), mask)
+                self._last = address, decoded(self.file, self.kind, raw, int(np.prod(chunk, dtype=int))).reshape(chunk)
+            values = self._last[1]
             to, take = [], []
             for d, (a, c) in enumerate(zip(first, chunk)):
                 low, high = (start, stop) if d == 0 else (0, self.shape[d])
@@ -320,6 +324,7 @@ class Group(Node, container.Group):
     def __init__(self, file: File, address: int, name: str):
         super().__init__(file, address, name)
         self.links = dict(self._links())
+        self.nodes: dict[str, Group | Array] = {}
 
     def _links(self):
         if (data := self.part(SYMBOLS)) is not None:
@@ -361,9 +366,11 @@ class Group(Node, container.Group):
         name, _, rest = path.strip("/").partition("/")
         if name not in self.links:
             return None
-        address, inside = self.links[name], f"{self.name.rstrip('/')}/{name}"
-        kinds = {k for k, _ in self.file.messages(address)}
-        node = Array(self.file, address, inside) if DATATYPE in kinds and LAYOUT in kinds else Group(self.file, address, inside)
+        if name not in self.nodes:
+            address, inside = self.links[name], f"{self.name.rstrip('/')}/{name}"
+            kinds = {k for k, _ in self.file.messages(address)}
+            self.nodes[name] = (Array if DATATYPE in kinds and LAYOUT in kinds else Group)(self.file, address, inside)
+        node = self.nodes[name]
         return node if not rest else node.get(rest) if node.is_group else None
 
 

@@ -97,6 +97,8 @@ class Array(container.Array):
         self.separator = meta.get("dimension_separator", ".")
         self.compressor, self.filters, self.fill = meta.get("compressor"), meta.get("filters") or [], meta.get("fill_value")
         self.attrs = root.attrs_of(path)
+        # batches follow each other, so the last chunk is often the next one's first
+        self._last: tuple[tuple[int, ...], np.ndarray | None] | None = None
 
     def _fill(self) -> Any:
         if self.fill is None:
@@ -131,9 +133,11 @@ class Array(container.Array):
         return values.reshape(self.chunks, order=self.order)
 
     def _chunk(self, index: tuple[int, ...]) -> np.ndarray | None:
-        key = self.separator.join(map(str, index)) or "0"
-        data = self.root.store.get(f"{self.path}/{key}")
-        return None if data is None else self._decode(data)
+        if self._last is None or self._last[0] != index:
+            key = self.separator.join(map(str, index)) or "0"
+            data = self.root.store.get(f"{self.path}/{key}")
+            self._last = index, None if data is None else self._decode(data)
+        return self._last[1]
 
     def read(self, start: int = 0, stop: int | None = None) -> np.ndarray:
         start, stop, _ = slice(start, stop).indices(self.shape[0])
@@ -177,7 +181,7 @@ class Root(Group):
     """The root group.  Consolidated metadata are read once, where they exist."""
 
     def __init__(self, store: container.Store, path: str):
-        self.store = store
+        self.store, self.nodes = store, {}
         raw = store.get(".zmetadata")
         whole = json.loads(raw) if raw else {}
         self.meta: dict[str, dict] | None = whole["metadata"] if whole.get("zarr_consolidated_format") == 1 else None
@@ -203,6 +207,11 @@ class Root(Group):
         return sorted(n for n in below if not n.startswith("."))
 
     def node(self, path: str):
+        if path not in self.nodes:
+            self.nodes[path] = self._node(path)
+        return self.nodes[path]
+
+    def _node(self, path: str):
         if (meta := self.document(path, ".zarray")) is not None:
             return Array(self, path, meta)
         if self.document(path, ".zgroup") is not None:
