@@ -15,7 +15,7 @@ from .facade import Session, Subject  # noqa: E402
 from .operators.arrays import assemble_ragged, assemble_ragged_nested, fixed_shape, merge_array_column  # noqa: E402
 from .operators.intervals import events_in_intervals, insert_is_observed  # noqa: E402
 from .operators.metadata import attrs_frame, consolidate_attrs, get_attrs, get_sub_attrs, session_metadata  # noqa: E402
-from .operators.scan import read, scan, select_columns, table_length, table_schema  # noqa: E402
+from .operators.scan import read, row_counts, scan, select_columns, table_length, table_schema  # noqa: E402
 from .operators.timeseries import TimeSeries, get_timeseries, rate_timestamps  # noqa: E402
 from .plans.catalog import common_tables, internal_paths, sql_context  # noqa: E402
 from .session import build_session  # noqa: E402
@@ -27,5 +27,5 @@ __all__ = [
     "SESSION_PATH", "TABLE_INDEX", "TABLE_PATH", "Archive", "ColumnError", "InternalPathError", "Session", "Subject", "TimeSeries",
     "assemble_ragged", "assemble_ragged_nested", "attrs_frame", "build_session", "common_tables", "consolidate_attrs", "events_in_intervals", "export_tables",
     "fixed_shape", "get_attrs", "get_sub_attrs", "get_timeseries", "ingest", "insert_is_observed", "internal_paths", "merge_array_column",
-    "rate_timestamps", "read", "scan", "scan_lake", "select_columns", "session_metadata", "sql_context", "table_length", "table_schema",
+    "rate_timestamps", "read", "row_counts", "scan", "scan_lake", "select_columns", "session_metadata", "sql_context", "table_length", "table_schema",
 ]

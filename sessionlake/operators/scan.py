@@ -253,6 +253,12 @@ def table_length(df: DataFrame) -> DataFrame:
     return df.groupBy(SESSION_PATH).agg(F.count("*").alias("n_rows"))
 
 
+def row_counts(spark: SparkSession, source: Source, table_path: str, raise_on_missing: bool = False, ignore_errors: bool = False) -> DataFrame:
+    """``_nwb_path, n_rows`` of a table in each session that has it, from metadata alone."""
+    found = facts(spark, as_paths(source), normalise(table_path), raise_on_missing, ignore_errors)
+    return spark.createDataFrame([(p, n) for p, n, _ in found], f"{SESSION_PATH} string, n_rows bigint")
+
+
 def late_join(light: DataFrame, heavy: DataFrame, keys: tuple[str, ...] = PROVENANCE) -> DataFrame:
     """Heavy columns for the rows that are left of the light ones."""
     extra = [c for c in heavy.columns if c in keys or c not in light.columns]

@@ -118,6 +118,17 @@ def test_limit_opens_few_sessions(spark, two):
     assert S.scan(spark, [two[0], str(two[1]) + "-gone"], "trials", n_rows=5, infer_schema_length=1).count() == 5
 
 
+def test_metadata_alone_answers(spark, two, monkeypatch):
+    from sessionlake.sources import rows
+
+    def no_data(*_):
+        raise AssertionError("data are read")
+
+    monkeypatch.setattr(rows, "column", no_data)
+    assert sorted(r.n_rows for r in S.row_counts(spark, two, "units").collect()) == [4, 4]
+    assert S.scan(spark, two, "units", columns=[]).count() == 8 and S.scan(spark, two, "units", columns=[]).columns == ["_nwb_path", "_table_path", "_table_index"]
+
+
 def test_many_sessions_are_described_by_tasks(spark, two, monkeypatch):
     monkeypatch.setattr(scan, "MANY", 2)
     assert S.scan(spark, two, "units").count() == 8
