@@ -16,7 +16,7 @@ from .constants import SESSION_PATH, TABLE_INDEX, UNIT_INDEX
 from .functions import scalars
 from .operators import arrays, intervals, metadata, scan
 from .operators.timeseries import rate_timestamps
-from .plans.catalog import common_tables, register
+from .plans.catalog import catalog_frame, common_tables, register, sql_context
 from .session import scratch_dir
 from .sinks import write_table
 
@@ -445,6 +445,71 @@ def export_session_subdirs(spark, d):
     return spark.read.parquet(path).withColumn("session", F.col("session").cast("string"))
 
 
+def containers(spark: SparkSession, sf_dir: str) -> list[str]:
+    """Sessions as containers in a new folder, each written by the task that has it."""
+    root = scratch_dir(spark, "containers").removeprefix("file://")
+    us = units(spark, sf_dir).select(SESSION_PATH, F.col(TABLE_INDEX).alias("user_id"), "spike_times")
+    ts = trials(spark, sf_dir).select(SESSION_PATH, F.col(TABLE_INDEX).alias("event_id"), "start_time", "stop_time", "value")
+
+    def write(key, left, right):
+        import pandas as pd
+
+        from .sources.zarr2_writer import ZarrWriter
+
+        left, right = left.sort_values("user_id"), right.sort_values("event_id")
+        out = ZarrWriter(f"{root}/{key[0]}.zarr", neurodata_type="NWBFile")
+        out.array("identifier", key[0])
+        out.table("units", {"id": left.user_id.to_numpy(), "spike_times": list(left.spike_times), "name": [f"user {u}" for u in left.user_id]})
+        out.table("intervals/trials", {c: right[c].to_numpy() for c in ("event_id", "start_time", "stop_time", "value")})
+        out.close()
+        return pd.DataFrame({"path": [out.root]})
+
+    return [r.path for r in us.groupBy(SESSION_PATH).cogroup(ts.groupBy(SESSION_PATH)).applyInPandas(write, "path string").collect()]
+
+
+def of_path():
+    return F.regexp_extract(SESSION_PATH, r"([^/]+)\.zarr$", 1).alias("session")
+
+
+@query(f"SELECT s AS session, user_id AS id, 'user ' || user_id AS name, row_number() OVER (PARTITION BY s ORDER BY user_id) - 1 AS _table_index FROM {_UNITS}")
+def container_scan(spark, d):
+    return scan.scan(spark, containers(spark, d), "units", columns=["id", "name"]).select(of_path(), "id", "name", TABLE_INDEX)
+
+
+@query(f"SELECT s AS session, user_id AS id, len(times)::INT AS n, times[1] AS first, times[-1] AS last FROM {_UNITS}")
+def container_ragged(spark, d):
+    df = scan.scan(spark, containers(spark, d), "units", columns=["id", "spike_times"])
+    return df.select(of_path(), "id", F.size("spike_times").alias("n"), F.get("spike_times", F.lit(0)).alias("first"), F.element_at("spike_times", -1).alias("last"))
+
+
+@query(f"SELECT s AS session, event_id, start_time FROM {_TRIALS} WHERE value > 100 AND s IN ('session_1.nwb', 'session_2.nwb')")
+def container_conditions(spark, d):
+    paths = containers(spark, d)
+    wanted = [p for p in paths if p.endswith(("session_1.nwb.zarr", "session_2.nwb.zarr"))]
+    df = scan.scan(spark, paths, "trials", columns=["event_id", "start_time"], where=[("value", ">", 100.0), (SESSION_PATH, "in", wanted)])
+    return df.select(of_path(), "event_id", "start_time")
+
+
+@query(f"SELECT s AS session, user_id, event_id, n FROM ({_PAIRS})")
+def container_events_in_intervals(spark, d):
+    paths = containers(spark, d)
+    us, ts = scan.scan(spark, paths, "units", columns=["id", "spike_times"]), scan.scan(spark, paths, "trials", columns=["event_id", "start_time", "stop_time"])
+    found = intervals.events_in_intervals(us, {"n": ("start_time", "stop_time")}, ts, as_counts=True)
+    return found.select(of_path(), F.col("id").alias("user_id"), "event_id", "n")
+
+
+@query(f"SELECT 'intervals/trials' AS path, count(DISTINCT s) AS sessions FROM {_TRIALS} UNION ALL SELECT 'units', count(DISTINCT s) FROM {_EVENTS}")
+def container_catalog(spark, d):
+    found = common_tables(catalog_frame(spark, containers(spark, d)), 2)
+    return found.select(F.ltrim("path", F.lit("/")).alias("path"), "sessions")
+
+
+@query(f"SELECT s AS session, count(*) AS n FROM {_TRIALS} WHERE value > 50 GROUP BY s")
+def container_sql(spark, d):
+    sql_context(spark, containers(spark, d), full_path=True)
+    return spark.sql(rf"SELECT regexp_extract({SESSION_PATH}, '([^/]+)\\.zarr$', 1) AS session, count(*) AS n FROM `intervals/trials` WHERE value > 50 GROUP BY 1")
+
+
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     """Events of every unit in every interval of its session, with the unit's and the interval's columns."""
     return intervals.events_in_intervals(units(spark, d), {"n_events": ("start_time", "stop_time")}, trials(spark, d).drop(UNIT_INDEX), as_counts=True)
