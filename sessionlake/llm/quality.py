@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, need, step
+from .common import Workspace, step
 
 WINDOW = 5
 MIN_WORDS = 10
@@ -30,26 +30,30 @@ HOST_MAX_RATE = 0.5
 _SPACE = "[\\x20\\x09-\\x0D]+"
 
 
-def measure(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source") -> DataFrame:
-    """``key, host, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words``."""
-    df = need(docs, key, host, text).toDF("id", "host", "text")
-    df = df.select("id", "host", F.coalesce("text", F.lit("")).alias("text"))
+def measure(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source", carry: tuple[str, ...] = ()) -> DataFrame:
+    """``key, host, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words``,
+    and the columns to carry, as ``carried0`` and so on."""
+    more = [f"carried{i}" for i in range(len(carry))]
+    at = [docs.columns.index(c) for c in (key, host, text, *carry)]
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    df = plain.select(*[F.col(f"c{i}").alias(n) for i, n in zip(at, ["id", "host", "text", *more])])
+    df = df.select("id", "host", *more, F.coalesce("text", F.lit("")).alias("text"))
     stripped = F.regexp_replace("text", f"^{_SPACE}|{_SPACE}$", "")
     lines = F.filter(F.split("text", "\n"), lambda x: F.regexp_like(x, F.lit("[^\\x20\\x09-\\x0D]")))
     df = step(
-        df, ["id", "host"],
+        df, ["id", "host", *more],
         words=F.when(stripped == "", F.array().cast("array<string>")).otherwise(F.split(stripped, _SPACE)),
         n_symbols=F.length(F.regexp_replace("text", "[^#*$%&|<>]+", "")).cast("bigint"),
         lines=lines,
     )
     df = step(
-        df, ["id", "host", "n_symbols"],
+        df, ["id", "host", *more, "n_symbols"],
         n_words=F.size("words").cast("bigint"),
         word_chars=F.length(F.array_join("words", "")).cast("bigint"),
         n_dup_lines=(F.size("lines") - F.size(F.array_distinct("lines"))).cast("bigint"),
         hashes=F.transform("words", lambda x: F.xxhash64(x)),
     )
-    rest = ["id", "host", "n_words", "word_chars", "n_symbols", "n_dup_lines"]
+    rest = ["id", "host", *more, "n_words", "word_chars", "n_symbols", "n_dup_lines"]
     # a window is told by a 64-bit hash of its words' hashes
     first = F.slice("hashes", F.lit(1), F.greatest(F.size("hashes") - (WINDOW - 1), F.lit(0)))
     df = step(df, rest, windows=F.transform(first, lambda x, i: F.xxhash64(x, *[F.get("hashes", i + k) for k in range(1, WINDOW)])))
@@ -65,7 +69,7 @@ def measure(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str
     )
     return df.select(
         F.col("id").alias(key), F.col("host").alias("host"), "n_words", "word_chars", "n_symbols", "n_dup_lines",
-        F.coalesce(covered, F.lit(0).cast("bigint")).alias("n_repeat_words"),
+        F.coalesce(covered, F.lit(0).cast("bigint")).alias("n_repeat_words"), *more,
     )
 
 
@@ -117,16 +121,19 @@ def host_verdicts(hosts: DataFrame, prior: dict[str, tuple[float, float]], most:
     return hosts.select("host", (F.greatest(*shrunk) > most).alias("host_rejected"))
 
 
-def judge(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source") -> DataFrame:
-    """``key``, the five measures, ``base_failed, host_rejected, kept``."""
+def judge(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source", carry: tuple[str, ...] = ()) -> DataFrame:
+    """``key``, the five measures, ``base_failed, host_rejected, kept``, and the
+    columns to carry, as ``carried0`` and so on; so whole rows can be filtered by
+    their own verdict, without a join of the texts."""
     ws = Workspace(docs.sparkSession, "quality")
     by_rule = rules()
-    measured = measure(docs, key, text, host).withColumn("base_failed", by_rule["short"] | by_rule["repeats"])
-    measured = ws.keep(measured, "measured")  # a few numbers a document, so that texts are read once
+    measured = measure(docs, key, text, host, carry).withColumn("base_failed", by_rule["short"] | by_rule["repeats"])
+    measured = ws.keep(measured, "measured", "zstd" if carry else "snappy")  # so that texts are measured once
     hosts = ws.keep(host_rates(measured), "hosts")
-    verdicts = ws.keep(host_verdicts(hosts, fit_beta(hosts)), "verdicts")
+    verdicts = host_verdicts(hosts, fit_beta(hosts)).filter("host_rejected")
+    verdicts = ws.keep(verdicts, "verdicts")  # Spark knows its size, and broadcasts it only if that allows
     out = measured.join(verdicts, "host", "left").withColumn("host_rejected", F.coalesce("host_rejected", F.lit(False)))
     return out.select(
         key, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "host_rejected",
-        (~F.col("base_failed") & ~F.col("host_rejected")).alias("kept"),
+        (~F.col("base_failed") & ~F.col("host_rejected")).alias("kept"), *[f"carried{i}" for i in range(len(carry))],
     )
