@@ -3,8 +3,9 @@
 A stage takes all rows that its predecessor kept.  All but the last return the
 columns of documents: toxic documents go, then those that fail the quality
 rules or come from a rejected host, then all but one of each group of near
-copies; what stays is packed into batches.  A row whose ``doc_id`` is null is
-never told apart by it, so only the toxicity stage can reject it.
+copies; what stays is packed into batches.  Toxicity and quality are judged row
+by row; a row whose ``doc_id`` is null isn't told apart by it, so it is never
+dropped as a near copy.
 """
 
 from __future__ import annotations
@@ -24,7 +25,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return docs.join(quality.judge(docs).filter("NOT kept").select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+    judged = quality.judge(docs, carry=tuple(docs.columns)).filter("kept")
+    return judged.select(*[F.col(f"carried{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
