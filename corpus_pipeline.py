@@ -3,9 +3,9 @@
 A stage takes all rows that its predecessor kept.  All but the last return the
 columns of documents: toxic documents go, then those that fail the quality
 rules or come from a rejected host, then all but one of each group of near
-copies; what stays is packed into batches.  Toxicity and quality are judged row
-by row; a row whose ``doc_id`` is null isn't told apart by it, so it is never
-dropped as a near copy.
+copies; what stays is packed into batches.  Each row is judged by its own text,
+also where rows share a ``doc_id``; a row whose ``doc_id`` is null isn't told
+apart by it, so it is never dropped as a near copy.
 """
 
 from __future__ import annotations
@@ -30,10 +30,7 @@ def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = jaccard.join(docs)
-    out = docs.join(found.filter("NOT kept").select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
-    repeated = found.groupBy("doc_id").count().filter("count > 1 AND doc_id IS NOT NULL")
-    return out if repeated.isEmpty() else out.dropDuplicates(["doc_id"])
+    return jaccard.distinct_rows(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

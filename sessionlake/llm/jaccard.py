@@ -17,9 +17,9 @@ Defined cases: words are runs of anything but ASCII white space; a text of one
 to four words has all its words as its only n-gram; a null, empty or blank text
 links with nothing; a text of any length counts whole; repeated rows count as
 documents that link with each other; rows with the same key and different texts
-put their links together; rows whose key is null link with their copies only,
-and have a null class unless a copy has a key; an empty table gives an empty
-result; other columns of the input are ignored.
+are judged each by its own text; rows whose key is null link as others do, and
+a class without any key is null and keeps one row; an empty table gives an
+empty result; other columns of the input are ignored, unless they are carried.
 """
 
 from __future__ import annotations
@@ -30,6 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import Workspace, binary_rows, by_group, connected_components, groups, in_blocks, linked, need, pairs_of, type_of
 
@@ -101,8 +102,9 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     return (low >> np.uint32(16)).astype("<u2")
 
 
-def features(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """``id, digest, signature``; the last two are null without words."""
+def features(docs: DataFrame, key: str, text: str, carry: tuple[str, ...] = ()) -> DataFrame:
+    """``id, digest, signature, text`` and the columns to carry, as ``carried0``
+    and so on; digest and signature are null without words."""
 
     def run(batches):
         shingler = Shingler()
@@ -112,9 +114,11 @@ def features(docs: DataFrame, key: str, text: str) -> DataFrame:
                 s = shingler(t)
                 digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
                 signatures.append(signature(s).tobytes() if len(s) else None)
-            yield pa.record_batch([batch.column(0), pa.array(digests, pa.binary()), pa.array(signatures, pa.binary())], names=["id", "digest", "signature"])
+            yield pa.record_batch([batch.column(0), pa.array(digests, pa.binary()), pa.array(signatures, pa.binary()), *batch.columns[1:]], names=names)
 
-    return need(docs, key, text).toDF("id", "text").mapInArrow(run, f"id {type_of(docs, key).simpleString()}, digest binary, signature binary")
+    names = ["id", "digest", "signature", "text", *[f"carried{i}" for i in range(len(carry))]]
+    kinds = [type_of(docs, key), T.BinaryType(), T.BinaryType(), *[type_of(docs, c) for c in (text, *carry)]]
+    return need(docs, key, text, *carry).toDF("id", *names[3:]).mapInArrow(run, T.StructType([T.StructField(n, k) for n, k in zip(names, kinds)]))
 
 
 def candidates(batches, least: float, keys: list[str]):
@@ -167,44 +171,78 @@ def verified(batches, threshold: float, keys: list[str]):
                 yield found
 
 
-def join(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """``key, n_links, class_id, kept`` for each row: how many other documents it
-    links with, the smallest key that links lead to, and whether that is its own."""
-    ws = Workspace(docs.sparkSession, "jaccard")
-    kind = type_of(docs, key).simpleString()
-    found = ws.keep(features(docs, key, text), "features")
+def judge(ws: Workspace, rows: DataFrame, threshold: float) -> DataFrame:
+    """``digest, links, component, class_id, only`` of each class of ``rows``; the
+    component is its smallest row, and ``only`` the row to keep where no row has a key."""
     classes = ws.keep(
-        found.filter("digest IS NOT NULL").groupBy("digest").agg(F.min("id").alias("node"), F.count("*").alias("size"), F.first("signature").alias("signature")),
+        rows.filter("digest IS NOT NULL").groupBy("digest").agg(
+            F.min("row").alias("node"), F.min("id").alias("least"), F.count("*").alias("size"), F.first("signature").alias("signature")
+        ),
         "classes",
     )
     k = prefix_length(threshold)
     trees = F.array(*[F.xxhash64(F.lit(t), F.substring("signature", t * DEPTH * 2 + 1, k * 2)) for t in range(TREES)])
-    places = classes.filter("node IS NOT NULL").select("node", F.explode(trees).alias("place"))
+    places = classes.select("node", F.explode(trees).alias("place"))
     # kept, so that a hot place is split when the two are joined
     shared = ws.keep(places.groupBy("place").agg(F.count("*").alias("members")).filter("members > 1").select("place"), "shared")
     places = ws.keep(places.join(shared, "place"), "places")
     met = in_blocks(ws, places, ["place"], "node", BUCKET_BLOCK).join(classes.select("node", "signature"), "node")
     least = threshold - SLACK * math.sqrt(threshold * (1 - threshold) / (TREES * DEPTH))
     keys = ["place", "b1", "b2"]
-    edges = by_group(met.select(*keys, "side", "node", "signature"), keys).mapInArrow(lambda b: candidates(b, least, keys), f"node {kind}, root {kind}")
+    edges = by_group(met.select(*keys, "side", "node", "signature"), keys).mapInArrow(lambda b: candidates(b, least, keys), "node bigint, root bigint")
     edges = ws.keep(edges.filter("node <> root").distinct(), "candidates")
     ws.drop(places, shared)
     near = connected_components(ws, edges.select(F.col("node").alias("u"), F.col("root").alias("v")))
     near = ws.keep(in_blocks(ws, near, ["component"], "node", GROUP_BLOCK).join(classes.select("node", "size"), "node"), "groups")
-    texts = need(docs, key, text).toDF("node", "text").join(near, "node")
+    texts = rows.select(F.col("row").alias("node"), "text").join(near, "node")
     keys = ["component", "b1", "b2"]
-    links = by_group(texts.select(*keys, "side", "node", "size", "text"), keys).mapInArrow(lambda b: verified(b, threshold, keys), f"node {kind}, links bigint, root {kind}")
+    links = by_group(texts.select(*keys, "side", "node", "size", "text"), keys).mapInArrow(lambda b: verified(b, threshold, keys), "node bigint, links bigint, root bigint")
     links = ws.keep(links, "links")
     ws.drop(edges, near)
     component = connected_components(ws, links.select(F.col("node").alias("u"), F.col("root").alias("v")))
+    linked_classes = ws.keep(component.join(classes.select("node", "digest", "least"), "node"), "linked")
+    smallest = linked_classes.groupBy("component").agg(F.min("least").alias("smallest"), F.min(F.struct("digest", "node"))["node"].alias("only"))
+    # only classes with near copies meet here, and only light rows
+    component = linked_classes.select("node", "component").join(ws.keep(smallest, "smallest"), "component")
     total = links.groupBy("node").agg(F.sum("links").alias("links"))
-    judged = classes.select("digest", "node", "size").join(total, "node", "left").join(component, "node", "left")
-    judged = judged.select("digest", (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("links"), F.coalesce("component", "node").alias("component"))
-    judged = ws.keep(judged, "judged")
-    out = found.select("id", "digest").join(judged, "digest", "left")
-    return out.select(
-        F.col("id").alias(key),
-        F.coalesce("links", F.lit(0)).cast("bigint").alias("n_links"),
-        F.coalesce("component", "id").alias("class_id"),
-        F.coalesce("component", "id").eqNullSafe(F.col("id")).alias("kept"),
+    judged = classes.select("digest", "node", "size", "least").join(total, "node", "left").join(component, "node", "left")
+    alone = F.col("component").isNull()
+    return judged.select(
+        "digest", (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("links"), F.coalesce("component", "node").alias("component"),
+        F.when(alone, F.col("least")).otherwise(F.col("smallest")).alias("class_id"), F.coalesce("only", "node").alias("only"),
     )
+
+
+def judged_rows(ws: Workspace, docs: DataFrame, key: str, text: str, threshold: float, carry: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """The rows with their features and a number, ``row``; and ``row, id,
+    n_links, component, class_id, kept`` of each."""
+    # a number tells rows of the same key, or of none, apart; it is written, so that it holds
+    rows = ws.keep(features(docs, key, text, carry).withColumn("row", F.monotonically_increasing_id()), "features", "zstd")
+    judged = ws.keep(judge(ws, rows, threshold), "judged")
+    found = rows.select("row", "id", "digest").join(judged, "digest", "left")
+    blank = F.col("digest").isNull()
+    found = found.withColumn("class_id", F.when(blank, F.col("id")).otherwise(F.col("class_id")))
+    kept = F.when(blank, True).when(F.col("class_id").isNull(), F.col("row") == F.col("only")).otherwise(F.col("class_id").eqNullSafe(F.col("id")))
+    return rows, found.select("row", "id", F.coalesce("links", F.lit(0)).cast("bigint").alias("n_links"), "component", "class_id", kept.alias("kept"))
+
+
+def join(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """``key, n_links, class_id, kept`` for each row: how many other documents it
+    links with, the smallest key that links lead to, and whether that is its own."""
+    _, found = judged_rows(Workspace(docs.sparkSession, "jaccard"), docs, key, text, threshold)
+    return found.select(F.col("id").alias(key), "n_links", "class_id", "kept")
+
+
+def distinct_rows(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """Whole rows: of each class one of those with the smallest key, chosen by
+    content, and all rows whose key is null."""
+    ws = Workspace(docs.sparkSession, "jaccard")
+    rest = tuple(c for c in docs.columns if c not in (key, text))
+    rows, found = judged_rows(ws, docs, key, text, threshold, rest)
+    name = {key: "id", text: "text"} | {c: f"carried{i}" for i, c in enumerate(rest)}
+    copies = ws.keep(found.filter("n_links > 0 AND id IS NOT NULL").select("row", "component", "kept"), "copies")
+    # rows are hashed where several could stay
+    tied = copies.filter("kept").join(rows.select("row", F.xxhash64(*[name[c] for c in docs.columns]).alias("content")), "row")
+    stay = tied.groupBy("component").agg(F.min(F.struct("content", "row"))["row"].alias("row"))
+    gone = ws.keep(copies.select("row").join(stay.select("row"), "row", "left_anti"), "gone")
+    return rows.join(gone, "row", "left_anti").select(*[F.col(name[c]).alias(c) for c in docs.columns])

@@ -74,6 +74,13 @@ def test_repeated_rows_and_null_keys(spark):
     assert got == [("3", 2, "3", True), ("3", 2, "3", True), ("None", 0, "None", True), ("None", 2, "3", False)]
 
 
+def test_null_keys_take_part(spark):
+    t = " ".join(f"w{i}" for i in range(30))
+    rows = [(None, t), (None, t), (None, t + " x"), (4, "a b c d e f"), (4, " ".join(f"v{i}" for i in range(30))), (None, " ".join(f"v{i}" for i in range(31)))]
+    got = sorted((str(r[0]), r[1], str(r[2]), r[3]) for r in jaccard.join(spark.createDataFrame(rows, SCHEMA)).collect())
+    assert got == [("4", 0, "4", True), ("4", 1, "4", True), ("None", 1, "4", False), ("None", 2, "None", False), ("None", 2, "None", False), ("None", 2, "None", True)]
+
+
 def test_large_groups_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "BUCKET_BLOCK", 12)
     monkeypatch.setattr(jaccard, "GROUP_BLOCK", 8)

@@ -76,6 +76,17 @@ def test_extra_columns_and_repeated_rows(spark):
     assert sorted(str(r.doc_id) for r in docs.collect()) == ["1", "None"]
 
 
+def test_each_row_goes_by_its_own_class(spark):
+    """Rows that share a doc_id, or have none, with several texts."""
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(30)) for x in "abcd")
+    rows = [(1, b, "s"), (5, b + " x", "s"), (5, a, "s"), (7, a, "s"), (9, c, "s"), (9, d, "s"), (3, c + " y", "t"), (3, c + " y", "u"), (3, c + " y", "u"), (None, d, "s"), (None, a + " z", "s"), (None, "e f g h i j", "s")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    got = sorted(map(tuple, corpus_pipeline.drop_near_copies(spark, docs, SF).collect()), key=str)
+    again = sorted(map(tuple, corpus_pipeline.drop_near_copies(spark, docs.repartition(3), SF).collect()), key=str)
+    assert got == again and [r for r in got if r[0] == 3] in ([rows[6]], [rows[7]])
+    assert [r for r in got if r[0] != 3] == sorted([rows[i] for i in (0, 2, 5, 9, 10, 11)], key=str)
+
+
 def test_empty_documents(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
