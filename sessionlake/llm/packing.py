@@ -6,9 +6,9 @@ the token budget has room for at the bucket's length.  A document's place in
 its bucket is its rank in the order of a hash of its key, which is counted from
 the sizes of ranges of that hash, so no bucket meets in one task.
 
-Bounds: the histogram has a row for each length up to ``EXACT``, and 1024 rows
-for each further doubling, where lengths are rounded up; so its size doesn't
-follow the number of documents.
+Bounds: the histogram has a row for each different length.  k different lengths
+above ``EXACT`` words need more than k * ``EXACT`` words of text, so its size
+follows the number of very long documents at most.
 
 Defined cases: the length of a text is its number of words (runs of anything
 but ASCII white space); a null or empty text has length 0 and is packed too; a
@@ -40,7 +40,7 @@ def word_count(text: Column) -> Column:
 
 
 def rounded(length: Column) -> Column:
-    """The length as the histogram has it."""
+    """The length, above ``EXACT`` to three digits; ``pack`` doesn't use it."""
     unit = F.pow(F.lit(2.0), F.floor(F.log2(F.greatest(length, F.lit(1)))) - 10)
     return F.when(length <= EXACT, length).otherwise((F.ceil(length / unit) * unit).cast("bigint"))
 
@@ -102,8 +102,8 @@ def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", buckets: int
     else:
         given = docs.select(F.col(f"`{key}`").alias("id"), length.cast("bigint").alias("n"))
     order = F.md5(F.coalesce(F.col("id").cast("string"), F.lit("")).cast("binary"))
-    rows = ws.keep(given.withColumn("n", F.coalesce("n", F.lit(0))).withColumn("fit", rounded(F.col("n"))).withColumn("place", order), "lengths")
-    histogram = [(r.fit, r.n) for r in rows.groupBy("fit").agg(F.count("*").alias("n")).collect()]
+    rows = ws.keep(given.withColumn("n", F.coalesce("n", F.lit(0))).withColumn("place", order), "lengths")
+    histogram = [(r.n, r.documents) for r in rows.groupBy("n").agg(F.count("*").alias("documents")).collect()]
     ends = boundaries(histogram, buckets)
     room = [max(1, budget // max(1, e)) for e in ends]
     members = [sum(n for v, n in histogram if v <= e and (not i or v > ends[i - 1])) for i, e in enumerate(ends)]
@@ -112,7 +112,7 @@ def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", buckets: int
         first.append(first[-1] + math.ceil(n / r))
     constant = lambda x: F.array(*[F.lit(i).cast("bigint") for i in x]) if x else F.array().cast("array<bigint>")
     digits = max(0, math.ceil(math.log(max(1, sum(members)) / RANGE, 16)))
-    rows = rows.withColumn("bucket", F.size(F.filter(constant(ends), lambda e: e < F.col("fit"))))
+    rows = rows.withColumn("bucket", F.size(F.filter(constant(ends), lambda e: e < F.col("n"))))
     rows = rows.withColumn("range", F.substring("place", 1, digits) if digits else F.lit(""))
     sizes = rows.groupBy("bucket", "range").agg(F.count("*").alias("size"))
     # a row for each bucket and range of the hash; their running sums, by bucket

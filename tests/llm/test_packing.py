@@ -70,3 +70,13 @@ def test_given_lengths_and_rounding(spark):
     assert got == {1: 5, 2: 70_000, 3: 0}
     row = [r.v for r in spark.createDataFrame([(1,), (65_536,), (65_537,), (10**12 + 1,)], "n bigint").select(packing.rounded(F.col("n")).alias("v")).collect()]
     assert row[:2] == [1, 65_536] and all(a <= b <= a * 1.001 + 64 for a, b in zip((65_537, 10**12 + 1), row[2:])) and math.log2(row[3]) > 39
+
+
+def test_long_lengths_are_exact(spark):
+    lengths = [65_540, 65_541, 65_599, 131_100, 10**12 + 1, 10**12 + 2, 3]
+    df = spark.createDataFrame(list(enumerate(lengths)), "doc_id bigint, size bigint")
+    got = {r.n_tokens: r.bucket_length for r in packing.pack(df, text="size", length=F.col("size")).collect()}
+    assert got == {n: n for n in lengths}  # fewer lengths than buckets: no padding
+    got = {r.n_tokens: r.bucket_length for r in packing.pack(df, text="size", buckets=3, length=F.col("size")).collect()}
+    ends = packing.boundaries([(n, 1) for n in lengths], 3)
+    assert got == {n: min(e for e in ends if e >= n) for n in lengths}
