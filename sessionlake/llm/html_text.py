@@ -8,9 +8,14 @@ table's columns are aligned, and preformatted text keeps its lines.
 Hidden are elements that browsers never show, those with the attribute
 ``hidden``, with ``display: none`` or ``visibility: hidden`` in their style or
 by a rule of the page's style sheets whose selector is one element name, class,
-identifier, or a name with one of these; closed dialogs, and what a closed
+identifier, or a name with one of these; of several declarations the one counts
+that wins in the cascade, and rules count that apply on a light screen of 1280
+by 800 pixels, so those for print don't; closed dialogs, and what a closed
 ``details`` holds beside its summary; the options of a list that aren't chosen.
-Scripts aren't run, so ``noscript`` is shown.
+Scripts aren't run, so ``noscript`` is shown; nothing is loaded, so the content
+of ``object`` is. Formulas are shown as the text of their parts, drawings as a
+line for each text, but for texts without a place, whose base line is the upper
+edge, where browsers cut them off, and texts that are defined to be used.
 
 Defined cases: a null page has a null text; an empty page, or one without
 visible text, an empty one; a page of any length or depth is rendered whole;
@@ -57,17 +62,106 @@ IMPLIED = {
     "tfoot": (PARTS | {"tr", "td", "th", "caption"}, frozenset("table html".split())),
 }
 
-#: Tables nested deeper than this are shown as plain blocks.
-DEEPEST_TABLE = 12
+#: Parts of formulas that stand apart, of drawings that aren't drawn by themselves, and what moves a drawing's text.
+MATH_PARTS = frozenset("mfrac msup msub msubsup munder mover munderover mroot mtable mtr".split())
+DEFINED = frozenset("defs symbol clippath mask pattern marker desc metadata title".split())
+PLACING = frozenset("y dy transform dominant-baseline style class".split())
+SCREEN = {"width": 1280.0, "height": 800.0}
+SCREEN_HAS = {
+    "orientation": "landscape", "prefers-color-scheme": "light", "prefers-reduced-motion": "no-preference", "hover": "hover", "any-hover": "hover", "pointer": "fine",
+    "any-pointer": "fine", "scripting": "none",
+}
 
 _TOKEN = re.compile(r"""<!--.*?(?:--!?>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?>[^>"']++|"[^"]*+(?:"|\Z)|'[^']*+(?:'|\Z))*+)(?:>|\Z)|<[!?/][^>]*+(?:>|\Z)""", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _SPACE = re.compile(r"[ \t\n\r\f]+")
-_HIDING = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
-_RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
+_NOISE = re.compile(r"""/\*.*?(?:\*/|\Z)|"(?:\\.|[^"\\])*+(?:"|\Z)|'(?:\\.|[^'\\])*+(?:'|\Z)|<!--|-->""", re.S)
+_PARENS = re.compile(r"\([^()]*\)")
+_IMPORTANT = re.compile(r"\s*!\s*important\Z")
+_DISPLAY = re.compile(r"(?!-ms-|-moz-|-o-)[a-z-]+(?: [a-z-]+)*\Z")
+_FEATURE = re.compile(r"(?:(min-|max-)?(?:device-)?(width|height)\s*:|(width|height)\s*([<>]?=?))\s*([0-9.]+)(px|r?em)?\Z")
 _SELECTOR = re.compile(r"([a-z][a-z0-9]*)?(?:([.#])([\w-]+))?\Z", re.I)
 
 
+def declarations(text: str) -> dict[str, tuple[str, bool]]:
+    """The values of display and visibility, and whether they are important."""
+    out: dict[str, tuple[str, bool]] = {}
+    for part in _PARENS.sub("", text).lower().split(";"):
+        name, _, value = part.partition(":")
+        name = name.strip()
+        if name in ("display", "visibility"):
+            plain = _IMPORTANT.sub("", value).strip()
+            important = plain != value.strip()
+            known = _DISPLAY.match(plain) if name == "display" else plain in ("visible", "hidden", "collapse", "initial", "inherit", "unset", "revert")
+            if known and (important or not out.get(name, ("", False))[1]):
+                out[name] = plain, important
+    return out
+
+
+def on_screen(queries: str) -> bool:
+    """Whether a list of media queries applies on the screen; unknown ones don't."""
+
+    def has(feature: str) -> bool | None:
+        feature = feature.strip("() \t\n\r\f")
+        m = _FEATURE.match(feature)
+        if m:
+            size, least = SCREEN[m[2] or m[3]], float("0" + m[5].strip(".")) * (16 if m[6] and m[6] != "px" else 1)
+            how = m[4] if m[3] else {"min-": ">=", "max-": "<="}.get(m[1], "=")
+            return {">=": size >= least, "<=": size <= least, ">": size > least, "<": size < least}.get(how, size == least)
+        name, _, value = (x.strip() for x in feature.partition(":"))
+        return SCREEN_HAS[name] == value if value and name in SCREEN_HAS else True if feature in ("color", "hover", "pointer", "width", "height") else None
+
+    def applies(query: str) -> bool:
+        negated = query.startswith("not ")
+        parts = re.split(r"\s+and\s+", re.sub(r"\A(?:not|only)\s+", "", query))
+        found = [has(x) if x.startswith("(") else x in ("all", "screen") for x in parts]
+        return None not in found and all(found) != negated
+
+    every = [q.strip() for q in re.split(r",|\sor\s", queries.lower())]
+    return every == [""] or any(applies(q) for q in every if q)
+
+
+def style_rules(css: str) -> list[tuple]:
+    """``kind, name, tag, property, value, important, layered`` in order."""
+    out: list[tuple] = []
+    stack: list[tuple] = [(True, False, None)]  # of each open block: whether it applies, is in a layer, and its selectors
+    css, last = _NOISE.sub("", css), 0
+
+    def declare(text: str) -> None:
+        on, layered, selectors = stack[-1]
+        if on and selectors:
+            for what, (value, important) in declarations(text).items():
+                out.extend((kind, name, tag, what, value, important, layered) for tag, kind, name in selectors)
+
+    for m in re.finditer(r"[{};]", css):
+        text, last = css[last : m.start()].strip(), m.end()
+        on, layered, selectors = stack[-1]
+        if m[0] != "{":
+            declare(text)
+            if m[0] == "}" and len(stack) > 1:
+                stack.pop()
+        elif text.startswith("@"):
+            at = re.match(r"@([\w-]*)(.*)", text.lower(), re.S)
+            applies = {"media": lambda: on_screen(at[2]), "supports": lambda: not re.match(r"\s*not\b", at[2]), "layer": lambda: True}.get(at[1], lambda: False)()
+            stack.append((on and applies, layered or at[1] == "layer", selectors))
+        elif selectors is not None:  # a nested rule has a selector of two parts
+            stack.append((False, layered, selectors))
+        else:
+            found = [_SELECTOR.match(n.strip()) for n in text.split(",")]
+            stack.append((on, layered, [((x[1] or "").lower(), x[2] or "", x[3] or "") for x in found if x and x[0]]))
+    declare(css[last:])
+    return out
+
+
+def indexed(rules: list[tuple]) -> dict[tuple[str, str], list[tuple]]:
+    """Rules by what they need, with their rank in the cascade."""
+    out: dict[tuple[str, str], list[tuple]] = {}
+    for order, (kind, name, tag, what, value, important, layered) in enumerate(rules):
+        rank = (important, False, layered == important, kind == "#", kind == ".", bool(tag), order)
+        out.setdefault((kind, name if kind else tag), []).append((rank, tag, what, value))
+    return out
+
+
 class Node:
     __slots__ = ("tag", "raw", "children", "_attrs")
 
@@ -84,10 +178,10 @@ class Node:
         return self._attrs
 
 
-def build(page: str) -> tuple[Node, list[tuple[str, str, str]]]:
-    """The tree of a page, and the selectors that hide elements."""
+def build(page: str) -> tuple[Node, dict]:
+    """The tree of a page, and the rules of its style sheets."""
     root = Node("html")
-    stack, open_count, hiding = [root], {"html": 1}, []
+    stack, open_count, rules = [root], {"html": 1}, []
     at, end = 0, len(page)
 
     def push(node: Node) -> None:
@@ -140,39 +234,96 @@ def build(page: str) -> tuple[Node, list[tuple[str, str, str]]]:
         if tag in ("td", "th") and (stack[-1].tag == "table" or stack[-1].tag in PARTS):
             push(Node("tr"))
         node = Node(tag, m[3])
-        if tag in RAW:
+        ended = m[3].endswith("/") and tag not in BLOCKS and (tag in ("svg", "math", "path") or open_count.get("svg") or open_count.get("math"))
+        if tag in RAW and not ended:
             stop = re.compile(f"</{tag}(?=[\\s/>])", re.I).search(page, at)
             body = page[at : stop.start() if stop else end]
             node.children.append(body)
             stack[-1].children.append(node)
             at = stop.start() if stop else end
-            if tag == "style":
-                for names, what in _RULE.findall(body):
-                    if _HIDING.search(what):
-                        hiding += [s.groups(default="") for s in (_SELECTOR.match(n.strip()) for n in names.split(",")) if s and s[0]]
+            if tag == "style" and on_screen(node.attrs.get("media", "")):
+                rules += style_rules(body)
             if stop:
                 at = (_TOKEN.match(page, at) or stop).end()
-        elif tag in VOID or m[3].endswith("/") and tag in ("svg", "math", "path"):
+        elif tag in VOID or ended:
             stack[-1].children.append(node)
         else:
             push(node)
     if at < end:
         stack[-1].children.append(page[at:])
-    return root, [(a.lower(), b, c) for a, b, c in hiding]
+    return root, indexed(rules)
 
 
-def hidden(node: Node, hiding: list[tuple[str, str, str]]) -> bool:
+def shown(node: Node, styles: dict, visible: bool = True) -> tuple[bool, bool]:
+    """Whether an element is displayed, and whether its own text is visible."""
     if node.tag in NEVER_SHOWN:
-        return True
-    if not node.raw and node.tag != "dialog" and not any(not kind for _, kind, _ in hiding):
-        return False
+        return False, visible
+    rules = styles.get(("", node.tag), [])
+    if not node.raw and node.tag != "dialog" and not rules:
+        return True, visible
     attrs = node.attrs
-    if "hidden" in attrs or node.tag == "dialog" and "open" not in attrs or _HIDING.search(attrs.get("style", "")):
-        return True
-    for tag, kind, name in hiding:
-        if tag in ("", node.tag) and (not kind or kind == "." and name in attrs.get("class", "").split() or kind == "#" and name == attrs.get("id")):
-            return True
-    return False
+    if styles:
+        rules = rules + [r for c in set(attrs.get("class", "").split()) for r in styles.get((".", c), [])] + styles.get(("#", attrs.get("id", "")), [])
+    best: dict[str, tuple] = {"display": ((), "none" if "hidden" in attrs or node.tag == "dialog" and "open" not in attrs else ""), "visibility": ((), "")}
+    for rank, tag, what, value in rules:
+        if tag in ("", node.tag) and rank > best[what][0]:
+            best[what] = rank, value
+    if "style" in attrs:
+        for what, (value, important) in declarations(_NOISE.sub("", attrs["style"])).items():
+            if (important, True) > best[what][0]:
+                best[what] = (important, True), value
+    value = best["visibility"][1]
+    return best["display"][1] != "none", value in ("visible", "initial") or visible and value not in ("hidden", "collapse")
+
+
+def finished(call):
+    """The result of a generator that yields the calls whose results it needs,
+    so that depth isn't bounded by Python's stack."""
+    stack, value = [call], None
+    while stack:
+        try:
+            stack.append(stack[-1].send(value))
+            value = None
+        except StopIteration as end:
+            stack.pop()
+            value = end.value
+    return value
+
+
+def _below(node: Node, tag: str) -> list[Node]:
+    """The elements of a name inside another, in order."""
+    out, work = [], node.children[::-1]
+    while work:
+        c = work.pop()
+        if isinstance(c, Node):
+            if c.tag == tag:
+                out.append(c)
+            else:
+                work += c.children[::-1]
+    return out
+
+
+def _labels(svg: Node, styles: dict, visible: bool) -> list[tuple[Node, bool]]:
+    """The texts of a drawing, each as a block."""
+
+    def placed(node: Node) -> bool:
+        box = re.split(r"[\s,]+", node.attrs.get("viewbox", "").strip())
+        return not PLACING.isdisjoint(node.attrs) or len(box) > 1 and box[1].startswith("-")
+
+    out, work = [], [(c, placed(svg), visible) for c in reversed(svg.children)]
+    while work:
+        c, moved, visible = work.pop()
+        if isinstance(c, str) or c.tag in DEFINED or c.attrs.get("display") == "none":
+            continue
+        display, visible = shown(c, styles, visible)
+        moved = moved or placed(c)
+        if display and c.tag == "foreignobject" or display and c.tag == "text" and (moved or any(placed(t) for t in _below(c, "tspan"))):
+            label = Node("#label")
+            label.children = c.children
+            out.append((label, visible and c.attrs.get("visibility") != "hidden"))
+        elif display and c.tag != "text":
+            work += [(x, moved, visible) for x in reversed(c.children)]
+    return out
 
 
 class Lines:
@@ -219,12 +370,12 @@ def _number(text: str | None, other: int) -> int:
     return int(text) if text and re.fullmatch(r"-?[0-9]{1,9}", text.strip()) else other
 
 
-def render(top: list, hiding: list[tuple[str, str, str]], depth: int = 0, pre: bool = False) -> list[str]:
+def _render(top: list, styles: dict, visible: bool = True, pre: bool = False):
     lines = Lines()
     counts: list[list] = []  # of each open list: whether numbered, and the next number
-    work: list[tuple] = [("in", c, pre) for c in reversed(top)]
+    work: list[tuple] = [("in", c, pre, visible) for c in reversed(top)]
     while work:
-        what, node, pre = work.pop()
+        what, node, pre, visible = work.pop()
         if what == "out":
             lines.flush()
             if node.tag in ("ul", "ol", "menu", "dir"):
@@ -235,6 +386,8 @@ def render(top: list, hiding: list[tuple[str, str, str]], depth: int = 0, pre: b
             lines.gap |= node.tag in SPACED and not (counts and node.tag in ("ul", "ol", "menu"))
             continue
         if isinstance(node, str):
+            if not visible:
+                continue
             t = (html.unescape(node) if "&" in node else node).replace("\r\n", "\n").replace("\x00", "")
             if pre:
                 first, *more = t.split("\n")
@@ -246,24 +399,29 @@ def render(top: list, hiding: list[tuple[str, str, str]], depth: int = 0, pre: b
                 lines.text(t)
             continue
         tag = node.tag
-        if hidden(node, hiding):
+        display, visible = shown(node, styles, visible)
+        if not display:
             continue
         if tag == "br":
-            lines.forced()
+            if visible:
+                lines.forced()
             continue
         if tag == "select":
             options = [c for c in node.children if isinstance(c, Node) and c.tag == "option"]
             chosen = [c for c in options if "selected" in c.attrs] or options[:1]
-            work += [("in", c, pre) for o in reversed(chosen) for c in reversed(o.children)]
+            work += [("in", c, pre, visible) for o in reversed(chosen) for c in reversed(o.children)]
+            continue
+        if tag == "svg":
+            work += [("in", c, pre, v) for c, v in reversed(_labels(node, styles, visible))]
             continue
-        if tag == "table" and depth < DEEPEST_TABLE:
+        if tag == "table":
             lines.flush()
             lines.gap = True
-            for i, line in enumerate(_table(node, hiding, depth + 1)):
+            for line in (yield _table(node, styles, visible)):
                 lines.line(line)
             lines.gap = True
             continue
-        if tag in BLOCKS:
+        if tag in BLOCKS or tag == "#label":
             lines.flush()
             inner = bool(counts) and tag in ("ul", "ol", "menu")
             lines.gap |= tag in SPACED and not inner and not lines.marker
@@ -275,74 +433,103 @@ def render(top: list, hiding: list[tuple[str, str, str]], depth: int = 0, pre: b
                     value = _number(node.attrs.get("value"), counts[-1][1])
                     marker, counts[-1][1] = f"{value}. ", value + 1
                 lines.indent.append(" " * len(marker))
-                lines.marker = marker
+                lines.marker = marker if visible else ""
             elif tag in ("dd", "blockquote"):
                 lines.indent.append("  ")
-            work.append(("out", node, pre))
+            work.append(("out", node, pre, visible))
         children = node.children
         if tag == "details" and "open" not in node.attrs:
             children = [c for c in children if isinstance(c, Node) and c.tag == "summary"][:1]
         pre = pre or tag in ("pre", "textarea", "listing", "xmp")
         if pre and tag in ("pre", "textarea", "listing") and children and isinstance(children[0], str):
             children = [re.sub(r"\A\r?\n", "", children[0]), *children[1:]]
-        work += [("in", c, pre) for c in reversed(children)]
+        if tag in MATH_PARTS:
+            children = [x for c in children for x in (" ", c, " ")]
+        work += [("in", c, pre, visible) for c in reversed(children)]
     lines.flush()
     while lines.out and not lines.out[-1]:
         lines.out.pop()
     return lines.out
 
 
-def _table(table: Node, hiding: list[tuple[str, str, str]], depth: int) -> list[str]:
+def render(top: list, styles: dict) -> list[str]:
+    return finished(_render(top, styles))
+
+
+def _table(table: Node, styles: dict, visible: bool):
     """Lines of the table's rows, with the cells of each column aligned."""
     before: list[str] = []
-    rows: list[list[tuple[int, list[str]]]] = []
+    rows: list[tuple[int, list[tuple[int, int, list[str]]]]] = []  # the row's group, and its cells
     stray: list = []
-
-    def add(row: list) -> None:
-        cells = [c for c in row if isinstance(c, Node) and c.tag in ("td", "th")]
-        other = [c for c in row if not (isinstance(c, Node) and c.tag in ("td", "th"))]
-        rows.append([(max(1, min(1000, _number(c.attrs.get("colspan"), 1))), [] if hidden(c, hiding) else render(c.children, hiding, depth)) for c in cells])
-        stray.extend(x for x in other if isinstance(x, Node) or x.strip())
-
-    work = list(reversed(table.children))
+    work = [(c, 0, visible) for c in reversed(table.children)]
+    groups = 0
     while work:
-        c = work.pop()
+        c, group, seen = work.pop()
         if isinstance(c, str):
             if c.strip():
                 stray.append(c)
-        elif c.tag == "caption":
-            before += [] if hidden(c, hiding) else render(c.children, hiding, depth)
+            continue
+        if c.tag not in PARTS and c.tag not in ("caption", "tr"):
+            stray.append(c)
+            continue
+        display, seen = shown(c, styles, seen)
+        if not display:
+            continue
+        if c.tag == "caption":
+            before += yield _render(c.children, styles, seen)
         elif c.tag == "tr":
-            if not hidden(c, hiding):
-                add(c.children)
-        elif c.tag in PARTS:
-            if not hidden(c, hiding):
-                work += list(reversed(c.children))
+            cells = []
+            for x in c.children:
+                if isinstance(x, Node) and x.tag in ("td", "th"):
+                    display, cell_seen = shown(x, styles, seen)
+                    lines = (yield _render(x.children, styles, cell_seen)) if display else []
+                    cells.append((max(1, min(1000, _number(x.attrs.get("colspan"), 1))), 1, lines))
+                elif isinstance(x, Node) or x.strip():
+                    stray.append(x)
+            rows.append((group, cells))
         else:
-            stray.append(c)
+            groups += 1
+            work += [(x, groups, seen) for x in reversed(c.children)]
+    placed: list[list[tuple[int, int, list[str]]]] = []  # of each row: column, columns, lines
+    held: list[list] = []  # of cells from rows above: column, columns, and the rows still to come (-1: all of the group)
+    for i, (group, cells) in enumerate(rows):
+        if i and group != rows[i - 1][0]:
+            held = []
+        row, below, at, waiting = [], [], 0, held[::-1]
+        for span, down, lines in cells:
+            while waiting and waiting[-1][0] < at + 1:
+                row.append((waiting[-1][0], waiting[-1][1], []))
+                at = max(at, sum(waiting.pop()[:2]))
+            if waiting and at + span > waiting[-1][0]:  # as many columns as are free
+                span = waiting[-1][0] - at
+            row.append((at, span, lines))
+            if down != 1:
+                below.append([at, span, down - 1])
+            at += span
+        row += [(x[0], x[1], []) for x in reversed(waiting)]
+        placed.append(row)
+        held = sorted([[a, n, k - 1 if k > 0 else k] for a, n, k in held if k != 1] + below)
     widths: dict[int, int] = {}
     spans = []
-    for row in rows:
-        at = 0
-        for span, cell in row:
+    for row in placed:
+        for at, span, cell in row:
             width = max(map(len, cell), default=0)
             if span == 1:
                 widths[at] = max(widths.get(at, 0), width)
             else:
                 spans.append((at, span, width))
-            at += span
     for at, span, width in spans:
         have = sum(widths.get(i, 0) for i in range(at, at + span)) + 3 * (span - 1)
         if have < width:
             widths[at] = widths.get(at, 0) + width - have
-    out = render(stray, hiding, depth) + before  # text between cells is moved before the table, as browsers do
-    for row in rows:
-        for k in range(max((len(cell) for _, cell in row), default=0)):
-            at, parts = 0, []
-            for span, cell in row:
-                width = sum(widths.get(i, 0) for i in range(at, at + span)) + 3 * (span - 1)
-                parts.append((cell[k] if k < len(cell) else "").ljust(width))
-                at += span
+    out = (yield _render(stray, styles, visible)) + before  # text between cells is moved before the table, as browsers do
+    for row in placed:
+        for k in range(max((len(cell) for _, _, cell in row), default=0)):
+            parts, end = [], 0
+            for at, span, cell in row:
+                parts += ["".ljust(widths.get(i, 0)) for i in range(end, at)]
+                parts.append((cell[k] if k < len(cell) else "").ljust(sum(widths.get(i, 0) for i in range(at, at + span)) + 3 * (span - 1)))
+                end = at + span
             out.append(" | ".join(parts).rstrip(" "))
     return out
 
@@ -350,8 +537,8 @@ def _table(table: Node, hiding: list[tuple[str, str, str]], depth: int) -> list[
 def text_of(page: str | None) -> str | None:
     if page is None:
         return None
-    root, hiding = build(page)
-    return "\n".join(render([root], hiding)).replace("\xa0", " ")
+    root, styles = build(page)
+    return "\n".join(render([root], styles)).replace("\xa0", " ")
 
 
 def extract(pages: DataFrame, key: str = "page_id", page: str = "html") -> DataFrame:

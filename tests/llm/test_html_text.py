@@ -25,6 +25,20 @@ def test_layout(page, text):
     assert text_of(page) == text
 
 
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ("<p style='-webkit-backface-visibility: hidden; backface-visibility:hidden'>a", "a"), ("<style>.a{backface-visibility:hidden}</style><p class=a>a", "a"),
+        ("<style>@media print{.n{display:none}} @media screen and (max-width:600px){.n{display:none}}</style><p class=n>a", "a"), ("<style>@media screen{.n{display:none}}</style><p class=n>a<p>b", "b"),
+        ("<style media=print>p{display:none}</style><p>a", "a"), ("<style>.x{display:none}.x{display:block}</style><p class=x>a", "a"), ("<style>.x{display:block}.x{display:none}</style><p class=x>a<p>b", "b"),
+        ("<style>#i{display:block}.x{display:none}</style><p class=x id=i>a", "a"), ("<style>.x{display:none!important}</style><p class=x style='display:block'>a<p>b", "b"),
+        ("<style>@keyframes k{from{visibility:hidden}}/* p{display:none} */</style><p>a", "a"), ("<div style='visibility:hidden'>a<b style='visibility:visible'>b</b></div>", "b"),
+    ],
+)
+def test_visibility(page, text):
+    assert text_of(page) == text
+
+
 class Words(html.parser.HTMLParser):
     """The visible words of pages without tables, by the standard library."""
 
