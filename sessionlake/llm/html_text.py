@@ -36,7 +36,7 @@ from .common import need, type_of
 #: The elements of HTML by how they are parsed and shown.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-NEVER_SHOWN = frozenset("head script style template title iframe noembed noframes datalist object audio video canvas svg math".split())
+NEVER_SHOWN = frozenset("head script style template title iframe noembed noframes datalist audio video canvas annotation annotation-xml mphantom".split())
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li listing main menu nav ol optgroup p pre search section summary table tbody td textarea tfoot th thead tr ul xmp".split()
 )
@@ -407,7 +407,7 @@ def _render(top: list, styles: dict, visible: bool = True, pre: bool = False):
                 lines.forced()
             continue
         if tag == "select":
-            options = [c for c in node.children if isinstance(c, Node) and c.tag == "option"]
+            options = _below(node, "option")
             chosen = [c for c in options if "selected" in c.attrs] or options[:1]
             work += [("in", c, pre, visible) for o in reversed(chosen) for c in reversed(o.children)]
             continue
@@ -483,7 +483,7 @@ def _table(table: Node, styles: dict, visible: bool):
                 if isinstance(x, Node) and x.tag in ("td", "th"):
                     display, cell_seen = shown(x, styles, seen)
                     lines = (yield _render(x.children, styles, cell_seen)) if display else []
-                    cells.append((max(1, min(1000, _number(x.attrs.get("colspan"), 1))), 1, lines))
+                    cells.append((max(1, min(1000, _number(x.attrs.get("colspan"), 1))), max(0, _number(x.attrs.get("rowspan"), 1)), lines))
                 elif isinstance(x, Node) or x.strip():
                     stray.append(x)
             rows.append((group, cells))

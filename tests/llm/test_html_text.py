@@ -39,6 +39,19 @@ def test_visibility(page, text):
     assert text_of(page) == text
 
 
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ("<math><mfrac><mi>x</mi><mn>2</mn></mfrac><annotation>tex</annotation></math>", "x 2"), ("<svg><g><rect/><text y=5>one</text></g><text y='9'>two</text><defs><text y=1>no</text></defs></svg>", "one\ntwo"),
+        ("<object data=x><p>instead</object>", "instead"), ("<select><optgroup label=g><option>a<option selected>b</optgroup></select>", "b"),
+        ("<table><tr><td rowspan=2>a<td>b<td>c<tr><td>d<td>e</table>", "a | b | c\n  | d | e"), ("<table><tbody><tr><td rowspan=9>a<td>b</tbody><tbody><tr><td>c<td>d</table>", "a | b\nc | d"),
+        ("<table><tr><td>" * 14 + "<table><tr><td>a<td>b</table>", "a | b"),
+    ],
+)
+def test_shown_parts(page, text):
+    assert text_of(page) == text
+
+
 class Words(html.parser.HTMLParser):
     """The visible words of pages without tables, by the standard library."""
 
