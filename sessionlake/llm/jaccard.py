@@ -1,9 +1,9 @@
-"""Jaccard self-join of texts on word n-grams, found by a MinHash LSH forest.
+"""Jaccard self-join of texts on word n-grams, found by banded MinHash.
 
-Each of ``TREES`` sorted prefix tries holds the texts by a label of ``DEPTH``
-minhashes.  Matched prefixes are shortened from the whole label on, until texts
-at the threshold meet in some tree with the target recall; texts that share a
-prefix of that length are candidates.  Candidates whose signatures agree in too
+Each of ``TREES`` bands has the first minhashes of a label of ``DEPTH``; how
+many is fixed before any data is seen: the most with which texts at the
+threshold meet in some band with the target recall, and one where even that
+doesn't reach it.  Texts with an equal band are candidates.  Candidates whose signatures agree in too
 few places to reach the threshold are dropped; what stays is joined to
 connected groups, and inside each group every pair is verified by its exact
 Jaccard similarity.  Large prefixes and groups are compared block by block, and
