@@ -11,7 +11,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -73,20 +73,20 @@ class Workspace:
 def connected_components(ws: Workspace, edges: DataFrame, rounds: int = 60) -> DataFrame:
     """``(node, component)`` for every node of ``edges(u, v)``; component is the
     smallest node reachable.  Alternates large-star and small-star steps, each a
-    map-side combined minimum and an equi-join, until the edges stop changing.
+    map-side combined minimum and an equi-join, until the edges are stars.
     """
     # every edge points from the larger to the smaller node
     def pointed(df: DataFrame) -> DataFrame:
         return df.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct()
 
-    def mark(df: DataFrame) -> tuple:
-        # a sum of hashes modulo 2^61 can't overflow for any count of edges below 2^66
-        return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+    def settled(df: DataFrame) -> bool:
+        # each node has one edge out, or is only pointed at
+        ends = df.select(F.inline(F.array(F.struct(F.col("u").alias("node"), F.lit(1).alias("out"), F.lit(0).alias("to")), F.struct(F.col("v").alias("node"), F.lit(0).alias("out"), F.lit(1).alias("to")))))
+        return ends.groupBy("node").agg(F.sum("out").alias("out"), F.max("to").alias("to")).filter("out > 1 OR (out > 0 AND to > 0)").isEmpty()
 
     now = ws.keep(pointed(edges), "edges")
-    seen = mark(now)
     for _ in range(rounds):
-        if not seen[0]:
+        if settled(now):
             break
         both = now.select("u", "v").union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = ws.keep(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "low")
@@ -95,9 +95,7 @@ def connected_components(ws: Workspace, edges: DataFrame, rounds: int = 60) -> D
         small = large.join(low2, "u").select("v", "m").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         after = ws.keep(pointed(small.union(low2.select("u", F.col("m").alias("v")))), "edges")
         ws.drop(now, low, large, low2)
-        now, before, seen = after, seen, mark(after)
-        if seen == before:
-            break
+        now = after
     else:
         raise RuntimeError("components did not settle")
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(
@@ -105,8 +103,9 @@ def connected_components(ws: Workspace, edges: DataFrame, rounds: int = 60) -> D
     )
 
 
-def in_blocks(ws: Workspace, rows: DataFrame, keys: list[str], id_col: str, block: int, counted: DataFrame | None = None) -> DataFrame:
-    """Deals the members of each key to pairs of blocks of about ``block`` rows.
+def in_blocks(ws: Workspace, rows: DataFrame, keys: list[str], id_col: str, block: int, counted: DataFrame | None = None, weight: str | None = None, heaviest: int = 0) -> DataFrame:
+    """Deals the members of each key to pairs of blocks of about ``block`` rows,
+    and with ``weight``, of about ``heaviest`` of that too.
 
     Adds ``side`` (the row's own block) and ``b1 <= b2`` (the pair of blocks it
     is sent to).  A key with at most ``block`` rows has the one pair (0, 0), so
@@ -114,14 +113,41 @@ def in_blocks(ws: Workspace, rows: DataFrame, keys: list[str], id_col: str, bloc
     rows / block entries; it is kept first, so that Spark knows its size, and
     broadcasts it only if that allows.  ``counted`` may have the keys alone.
     """
-    hot = (rows if counted is None else counted).groupBy(*keys).agg(F.count("*").alias("members")).filter(F.col("members") > block)
-    hot = ws.keep(hot.select(*keys, F.ceil(F.col("members") / block).cast("int").alias("parts")), "hot")
+    parts = F.ceil(F.count("*") / block)
+    if weight is not None:
+        parts = F.greatest(parts, F.ceil(F.sum(weight) / heaviest))
+    hot = (rows if counted is None else counted).groupBy(*keys).agg(parts.cast("int").alias("parts")).filter("parts > 1")
+    hot = ws.keep(hot.select(*keys, "parts"), "hot")
     dealt = rows.join(hot, keys, "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     dealt = dealt.withColumn("side", F.pmod(F.xxhash64(F.lit(7), F.col(id_col)), F.col("parts")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     return dealt.withColumn("b1", F.least("side", "other")).withColumn("b2", F.greatest("side", "other")).drop("parts", "other")
 
 
+def in_blocks_apart(ws: Workspace, rows: DataFrame, key: str, id_col: str, apart: str, block: int) -> DataFrame:
+    """As ``in_blocks``, where rows of a key that are equal in ``apart`` needn't
+    meet: of those that fill a block, blocks of their own never meet each other.
+    """
+    hot = ws.keep(rows.groupBy(key).agg(F.count("*").alias("members")).filter(F.col("members") > block).select(key), "hot")
+    if hot.isEmpty():
+        return rows.select("*", *[F.lit(0).alias(c) for c in ("side", "b1", "b2")])
+    sizes = rows.join(hot, key).groupBy(key, apart).agg(F.count("*").alias("members"))
+    big = F.col("members") > block
+    # at most 2 * rows / block rows stay: a row for each large group, and one for all others
+    pools = sizes.select(key, F.when(big, F.col(apart)).alias("pool"), "members").groupBy(key, "pool").agg(F.ceil(F.sum("members") / block).cast("int").alias("parts"))
+    ahead = Window.partitionBy(key).orderBy(F.col("pool").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
+    pools = pools.withColumn("first", F.coalesce(F.sum("parts").over(ahead), F.lit(0)).cast("int")).withColumn("every", F.sum("parts").over(Window.partitionBy(key)).cast("int"))
+    pools = ws.keep(pools, "pools")
+    own = pools.filter("pool IS NOT NULL").select(key, F.col("pool").alias(apart), F.col("parts").alias("own_parts"), F.col("first").alias("own_first"))
+    rest = pools.groupBy(key).agg(F.max("every").cast("int").alias("every"), F.max(F.when(F.col("pool").isNull(), F.col("parts"))).alias("parts"))
+    dealt = rows.join(rest, key, "left").join(own, [key, apart], "left")
+    parts, first = F.coalesce("own_parts", "parts", F.lit(1)), F.coalesce("own_first", F.lit(0))  # the others' blocks come first
+    dealt = dealt.withColumn("side", (first + F.pmod(F.xxhash64(F.lit(7), F.col(id_col)), parts)).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce("every", F.lit(1)) - 1)))
+    dealt = dealt.filter(F.col("own_parts").isNull() | (F.col("other") < F.col("own_first")) | (F.col("other") >= F.col("own_first") + F.col("own_parts")))
+    return dealt.withColumn("b1", F.least("side", "other")).withColumn("b2", F.greatest("side", "other")).drop("parts", "every", "own_parts", "own_first", "other")
+
+
 def by_group(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Rows of a key together and in order, for ``groups``."""
     return rows.repartition(*keys).sortWithinPartitions(*keys)

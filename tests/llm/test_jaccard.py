@@ -101,10 +101,70 @@ def test_clashing_columns(spark):
     assert sorted(map(tuple, jaccard.join(df).collect())) == [(1, 1, 1, True), (2, 1, 1, False)]
 
 
-def test_prefix_is_shortened_until_the_recall():
-    k = jaccard.prefix_length()
-    recall = lambda k: 1 - (1 - 0.8**k) ** jaccard.TREES
-    assert recall(k) >= jaccard.TARGET_RECALL > recall(k + 1)
+def test_prefixes_are_shortened_until_the_recall():
+    for s in (0.5, 0.8, 0.85, 0.95):
+        lengths = jaccard.shortened(s)
+        assert jaccard.recall(lengths, s) >= jaccard.TARGET_RECALL
+        last = max(i for i, k in enumerate(lengths) if k == min(lengths))
+        assert max(lengths) - min(lengths) <= 1 and min(lengths) == jaccard.DEPTH or jaccard.recall([k + (i == last) for i, k in enumerate(lengths)], s) < jaccard.TARGET_RECALL
+    assert len(set(jaccard.shortened(0.8))) == 2  # trees differ
+    assert sum(jaccard.shortened(0.8)) < sum(jaccard.shortened(0.86)) < sum(jaccard.shortened(0.95))
+
+
+def test_prefixes_follow_the_member():
+    """Few n-grams allow few similarities; partners meet at the longer prefix."""
+    for n in range(1, 30):
+        possible = [a / u for a in range(1, n + 1) for u in range(n, 80) if (a, u) != (n, n) and a / u >= 0.8]
+        assert jaccard.least_similarity(n, 0.8) == min(possible, default=1.0)
+    plan = jaccard.prefixes(0.8)
+    assert {n for n, _, _ in plan} == {0, *range(4, jaccard.FEW + 1)}
+    entered = {}
+    for n, tree, length in plan:
+        entered.setdefault((n, tree), set()).add(length)
+    for n in range(4, jaccard.FEW + 1):
+        for m in range(n, min(jaccard.FEW, int(n / 0.8)) + 1):
+            low = max(jaccard.least_similarity(n, 0.8), jaccard.least_similarity(m, 0.8))
+            meet = [max(entered[n, t] & entered[m, t], default=99) for t in range(jaccard.TREES)]
+            assert jaccard.recall([min(entered[n, t] & entered[m, t]) for t in range(jaccard.TREES)], low) >= jaccard.TARGET_RECALL and 99 not in meet
+
+
+def test_members_meet_at_different_prefixes(spark):
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(400)]
+    near = [base[:k] + ["other"] + base[k + 1 :] for k in (10, 50, 90)]
+    far = base[:330] + [f"z{i}" for i in range(20)]
+    rows = [(i, " ".join(w)) for i, w in enumerate([base, *near, far])] + [(10 + i, " ".join(rng.choices(base, k=60))) for i in range(50)]
+    ws = jaccard.Workspace(spark, "test")
+    found = jaccard.features(spark.createDataFrame(rows, SCHEMA), "doc_id", "text")
+    classes = found.selectExpr("id AS node", "grams", "signature")
+    lengths = {frozenset((r.node, r.root)): r.length for r in jaccard.matched(ws, classes, 0.8).collect()}
+    ws.close()
+    assert {k for k in lengths if 4 not in k} and all(lengths[k] == jaccard.DEPTH for k in lengths if 4 not in k)
+    assert {lengths[k] for k in lengths if 4 in k} <= {4, 5, 8}
+
+
+def test_hot_nodes_deal_their_groups_apart(spark):
+    """Rows of one large group don't meet each other, but all others, once."""
+    from sessionlake.llm.common import in_blocks_apart
+
+    rows = [("p", i, 0) for i in range(40)] + [("p", 100 + i, 1) for i in range(25)] + [("p", 200 + i, 2 + i) for i in range(30)] + [("q", 300, 0), ("q", 301, 1)]
+    ws = jaccard.Workspace(spark, "test")
+    dealt = in_blocks_apart(ws, spark.createDataFrame(rows, "place string, node int, group int"), "place", "node", "group", 8).collect()
+    ws.close()
+    tasks = {}
+    for r in dealt:
+        tasks.setdefault((r.place, r.b1, r.b2), []).append(r)
+    met = {}
+    for (_, b1, b2), members in tasks.items():
+        assert len(members) < 60
+        for a in members:
+            for b in members:
+                if a.node < b.node and (b1 == b2 or {a.side, b.side} == {b1, b2}):
+                    met[a.node, b.node] = met.get((a.node, b.node), 0) + 1
+    group = {i: g for _, i, g in rows if i < 300}
+    want = {(a, b) for a in group for b in group if a < b and group[a] != group[b]}
+    assert want <= set(met) and met[300, 301] == 1 and set(met.values()) == {1}
+    assert not any(group[a] == group[b] for a, b in met if b < 300)
 
 
 def test_signature_estimates_jaccard():
