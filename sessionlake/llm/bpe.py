@@ -1,21 +1,33 @@
 """Byte-level BPE encoding and decoding by DuckDB queries in each partition.
 
-Encoding: the distinct words of a batch become rows of token positions; a
-recursive query joins neighbouring positions with the merge table and contracts
-each word's leftmost pair of least rank until no pair is left.  Decoding: an
-ordered aggregation of the token bytes.
+Encoding: the distinct words of a batch are cut where no token can lie across,
+and the distinct pieces become rows of token positions.  A recursive query joins
+neighbouring positions with the merge table and contracts each piece's leftmost
+pair of least rank until no pair is left; it keeps only the last state of each
+piece.  Where a contraction can't bring about a pair of lower rank, the other
+places of the same rank that would come next are contracted in the same step,
+from left to right, so that a long piece takes few steps.  Decoding: an ordered
+aggregation of the token bytes.
+
+Both cuts and joint contractions give what one contraction a step gives.  Every
+token that contraction makes is a token of the vocabulary that stands in the
+text, so none crosses a place that no such token covers: two bytes that are in no
+token side by side, or are no token themselves and have no token with either
+byte beside them.  A contraction that makes the token ``c`` only adds pairs of
+``c`` with its neighbours; if no pair with ``c`` merges at a lower rank than
+``c``, the least rank stays the same until all its places are contracted.
 
 Defined cases: a null text counts as the empty text; the empty text has no
-tokens, and the digests of the empty string; a text of any length is encoded
-whole; equal rows give equal results, one for each row; an empty table gives an
-empty result; other columns of the input are ignored.
+tokens, and the digests of the empty string; a text of any length, and a word of
+any length, is encoded whole; equal rows give equal results, one for each row;
+an empty table gives an empty result; other columns of the input are ignored.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-import heapq
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -24,37 +36,43 @@ from pyspark.sql import functions as F
 
 from .common import need, type_of
 
-#: Positions and ranks share a 64-bit sort key in the query.
-_RANK_SHIFT = 32
-
-#: Words longer than this take quadratic work in the recursive query (one
-#: contraction a step), so a heap contracts them by the same rule.
-LONG_WORD_BYTES = 400
-
 #: Bytes of text that one set of DuckDB tables holds.
 SLICE_BYTES = 6_000_000
+SLICE_WORDS = 500_000
+SLICE_TOKENS = 2_000_000
 
+#: A sort key has the rank, a bit that is set where only one place may be contracted, and the position.
 ENCODE = """
-WITH RECURSIVE steps AS (
-  SELECT 0 AS step, word, list(token ORDER BY position) AS tokens FROM positions GROUP BY word
-  UNION ALL
-  SELECT steps.step + 1, steps.word, list_concat(tokens[:best.position - 1], [best.merged], tokens[best.position + 2:])
-  FROM steps JOIN (
-    SELECT word, (min(rank_position) >> {shift})::INT AS merged, (min(rank_position) & {mask})::INT AS position
-    FROM (
-      SELECT pair.word, (merges.merged::BIGINT << {shift}) | pair.position AS rank_position
-      FROM (SELECT word, tokens, unnest(range(1, len(tokens))) AS position FROM steps) pair
-      JOIN merges ON merges.pair = ((pair.tokens[pair.position]::BIGINT << 32) | pair.tokens[pair.position + 1])
-    ) GROUP BY word
-  ) best ON steps.word = best.word
+WITH RECURSIVE state(piece, tokens) USING KEY (piece) AS (
+  SELECT piece, list(token ORDER BY position) FROM positions GROUP BY piece
+  UNION
+  (WITH pairs AS (
+    SELECT pair.piece, merges.rank_key | pair.position AS key
+    FROM (SELECT piece, tokens, unnest(range(1, len(tokens))) AS position FROM state) pair
+    JOIN merges ON merges.pair = ((pair.tokens[pair.position]::BIGINT << 32) | pair.tokens[pair.position + 1])
+  ), best AS (
+    SELECT piece, two[1] >> 33 AS rank, two[1] & 4294967295 AS first, (two[1] >> 32) & 1 = 0 AND len(two) > 1 AND two[1] >> 33 = two[2] >> 33 AS more
+    FROM (SELECT piece, min(key, 2) AS two FROM pairs GROUP BY piece)
+  ), places AS (
+    SELECT piece, best.rank, pairs.key & 4294967295 AS position, (pairs.key & 4294967295) - row_number() OVER (PARTITION BY piece ORDER BY pairs.key) AS run
+    FROM pairs JOIN best USING (piece) WHERE best.more AND pairs.key >> 33 = best.rank
+  ), apart AS (
+    SELECT piece, rank, position FROM (SELECT *, min(position) OVER (PARTITION BY piece, run) AS start FROM places) WHERE (position - start) % 2 = 0
+  ), many AS (
+    SELECT t.piece, list(coalesce(a.rank, t.token)::INT ORDER BY t.position) AS tokens
+    FROM (SELECT piece, unnest(tokens) AS token, generate_subscripts(tokens, 1) AS position FROM state JOIN best USING (piece) WHERE best.more) t
+    LEFT JOIN apart a ON a.piece = t.piece AND a.position = t.position
+    ANTI JOIN apart b ON b.piece = t.piece AND b.position = t.position - 1
+    GROUP BY t.piece
+  )
+  SELECT piece, list_concat(tokens[:first - 1], [rank::INT], tokens[first + 2:]) FROM state JOIN best USING (piece) WHERE NOT best.more
+  UNION ALL SELECT piece, tokens FROM many)
 )
-SELECT word, array_to_string(arg_max(tokens, step), ' ') AS ids FROM steps GROUP BY word
-""".format(shift=_RANK_SHIFT, mask=(1 << _RANK_SHIFT) - 1)
+SELECT piece, array_to_string(tokens, ' ') AS ids FROM state
+"""
 
 DECODE = """
-SELECT doc, unhex(array_to_string(list(hex), '')) AS bytes
-FROM (SELECT doc, hex FROM tokens JOIN vocabulary USING (token) ORDER BY doc, position)
-GROUP BY doc
+SELECT doc, unhex(string_agg(hex, '' ORDER BY position)) AS bytes FROM tokens JOIN vocabulary USING (token) GROUP BY doc
 """
 
 
@@ -70,14 +88,36 @@ class Vocabulary:
                 if a is not None and b is not None:
                     pair.append(a << 32 | b)
                     merged.append(rank)
-        self.merges = pa.table({"pair": pa.array(pair, pa.int64()), "merged": pa.array(merged, pa.int32())})
+        pairs, ranks = np.array(pair, np.int64), np.array(merged, np.int64)
+        # tokens that are part of a pair of lower rank than their own
+        before = np.unique(np.concatenate([x[ranks < x] for x in (pairs >> 32, pairs & 0xFFFFFFFF)]))
+        self.merges = pa.table({"pair": pairs, "rank_key": ranks << 33 | np.isin(ranks, before).astype(np.int64) << 32})
         self.tokens = pa.table({"token": pa.array(list(self.ranks.values()), pa.int32()), "hex": [k.hex() for k in self.ranks]})
         self.bytes = np.array([self.ranks[bytes([i])] for i in range(256)], np.int32)
+        flat = np.frombuffer(b"".join(self.ranks), np.uint8).astype(np.int32)
+        of = np.repeat(np.arange(len(self.ranks)), [len(k) for k in self.ranks])
+        two, three = flat[:-1] << 8 | flat[1:], flat[:-2] << 16 | flat[1:-1] << 8 | flat[2:]
+        self.inside2, self.inside3, self.token2 = np.zeros(1 << 16, bool), np.zeros(1 << 24, bool), np.zeros(1 << 16, bool)
+        self.inside2[two[of[:-1] == of[1:]]] = True
+        self.inside3[three[of[:-2] == of[2:]]] = True
+        self.token2[[k[0] << 8 | k[1] for k in self.ranks if len(k) == 2]] = True
+
+    def cuts(self, flat: np.ndarray, of: np.ndarray) -> np.ndarray:
+        """Places in words, one after the other, before which no token can reach on."""
+        b = flat.astype(np.int32)
+        two = b[:-1] << 8 | b[1:]
+        whole = self.inside2[two] & (of[:-1] == of[1:])
+        three = self.inside3[two[:-1] << 8 | b[2:]] & (of[:-2] == of[2:])
+        reach = self.token2[two]
+        reach[1:] |= three
+        reach[:-1] |= three
+        return np.flatnonzero(~(whole & reach)) + 1
 
     def connect(self):
         import duckdb
 
-        con = duckdb.connect(config={"threads": 1, "memory_limit": "600MB"})
+        # what is queried has a bounded size, so nothing needs to go to a disk
+        con = duckdb.connect(config={"threads": 1, "memory_limit": "600MB", "temp_directory": "", "max_temp_directory_size": "0B"})
         con.execute("SET enable_progress_bar = false")
         for name, table in (("merges", self.merges), ("vocabulary", self.tokens)):
             con.register("given", table)
@@ -85,83 +125,77 @@ class Vocabulary:
             con.unregister("given")
         return con
 
-    def contract(self, word: bytes) -> str:
-        """The rule of ENCODE for one very long word, in n log n steps."""
-        token, nxt, prv = list(self.bytes[np.frombuffer(word, np.uint8)].tolist()), list(range(1, len(word) + 1)), list(range(-1, len(word) - 1))
-        text = [word[i : i + 1] for i in range(len(word))]
-        heap: list[tuple[int, int, bytes]] = []
-
-        def offer(i: int) -> None:
-            if i >= 0 and nxt[i] < len(word):
-                both = text[i] + text[nxt[i]]
-                if both in self.ranks:
-                    heapq.heappush(heap, (self.ranks[both], i, both))
-
-        for i in range(len(word)):
-            offer(i)
-        while heap:
-            rank, i, both = heapq.heappop(heap)
-            if text[i] is None or nxt[i] >= len(word) or text[i] + text[nxt[i]] != both:
-                continue
-            gone = nxt[i]
-            token[i], text[i], text[gone], nxt[i] = rank, both, None, nxt[gone]
-            if nxt[i] < len(word):
-                prv[nxt[i]] = i
-            offer(prv[i])
-            offer(i)
-        return " ".join(str(t) for t, x in zip(token, text) if x is not None)
-
-
-def encode_words(con, vocabulary: Vocabulary, words: list[str]) -> dict[str, str]:
-    """Each word's ids, in decimal, joined by a space."""
+
+def encode_words(con, vocabulary: Vocabulary, words: list[str], known: dict[bytes, str] | None = None) -> dict[str, str]:
+    """Each word's ids, in decimal, joined by a space; ``known`` are those of pieces."""
+    known = {} if known is None else known
     out: dict[str, str] = {}
     raw, kept = [], []
     for w in words:
         b = w.encode("utf-8", "surrogatepass")
         if (rank := vocabulary.ranks.get(b)) is not None:
             out[w] = str(rank)
-        elif len(b) > LONG_WORD_BYTES:
-            out[w] = vocabulary.contract(b)
-        else:
+        elif b:
             raw.append(b)
             kept.append(w)
-    if raw:
-        sizes = np.array([len(b) for b in raw])
-        flat = np.frombuffer(b"".join(raw), np.uint8)
-        first = np.cumsum(sizes) - sizes
-        con.register("positions", pa.table({
-            "word": np.repeat(np.arange(len(raw), dtype=np.int32), sizes),
-            "position": (np.arange(len(flat)) - np.repeat(first, sizes)).astype(np.int32),
-            "token": vocabulary.bytes[flat],
-        }))
-        found = con.execute(ENCODE).fetchnumpy()
-        con.unregister("positions")
-        out.update(zip([kept[i] for i in found["word"].tolist()], found["ids"].tolist()))
+    if not raw:
+        return out
+    whole = b"".join(raw)
+    flat, of = np.frombuffer(whole, np.uint8), np.repeat(np.arange(len(raw)), [len(b) for b in raw])
+    ends = np.append(vocabulary.cuts(flat, of), len(flat)).tolist()
+    pieces = [whole[i:j] for i, j in zip([0, *ends], ends)]
+    contract(con, vocabulary, list(set(pieces).difference(known)), known)
+    ids = [known[p] for p in pieces]
+    at = np.searchsorted(ends, np.cumsum([len(b) for b in raw])) + 1
+    for w, i, j in zip(kept, [0, *at.tolist()], at.tolist()):
+        out[w] = ids[i] if j == i + 1 else " ".join(ids[i:j])
     return out
 
 
-def decode_ids(con, ids: list[np.ndarray]) -> list[bytes]:
-    """The bytes of each list of ids."""
-    sizes = np.array([len(x) for x in ids])
-    out = [b""] * len(ids)
-    if not sizes.sum():
-        return out
-    con.register("tokens", pa.table({
-        "doc": np.repeat(np.arange(len(ids), dtype=np.int32), sizes),
-        "position": np.concatenate([np.arange(n, dtype=np.int32) for n in sizes]),
-        "token": np.concatenate(ids).astype(np.int32),
+def contract(con, vocabulary: Vocabulary, pieces: list[bytes], known: dict[bytes, str]) -> None:
+    """Adds the ids of each piece to those that are known."""
+    todo = []
+    for p in pieces:
+        if (rank := vocabulary.ranks.get(p)) is not None:
+            known[p] = str(rank)
+        else:
+            todo.append(p)
+    if not todo:
+        return
+    sizes = np.array([len(b) for b in todo])
+    flat = np.frombuffer(b"".join(todo), np.uint8)
+    first = np.cumsum(sizes) - sizes
+    con.register("positions", pa.table({
+        "piece": np.repeat(np.arange(len(todo), dtype=np.int32), sizes),
+        "position": (np.arange(len(flat)) - np.repeat(first, sizes)).astype(np.int32),
+        "token": vocabulary.bytes[flat],
     }))
-    rows = con.execute(DECODE).fetchall()
-    con.unregister("tokens")
-    for doc, found in rows:
-        out[doc] = found
-    return out
+    found = con.execute(ENCODE).fetchnumpy()
+    con.unregister("positions")
+    known.update(zip([todo[i] for i in found["piece"].tolist()], found["ids"].tolist()))
+
+
+def decode_ids(con, ids: list[np.ndarray]) -> list[bytes]:
+    """The bytes of each list of ids; the query has a part of long lists at a time."""
+    out: list[list[bytes]] = [[] for _ in ids]
+    parts = [(doc, x[i : i + SLICE_TOKENS]) for doc, x in enumerate(ids) for i in range(0, len(x), SLICE_TOKENS)]
+    sizes = np.array([len(x) for _, x in parts], int)
+    for place in np.split(np.arange(len(parts)), np.flatnonzero(np.diff(np.cumsum(sizes) // SLICE_TOKENS)) + 1) if len(parts) else []:
+        con.register("tokens", pa.table({
+            "doc": np.repeat(place.astype(np.int32), sizes[place]),
+            "position": np.concatenate([np.arange(n, dtype=np.int32) for n in sizes[place]]),
+            "token": np.concatenate([parts[i][1] for i in place]).astype(np.int32),
+        }))
+        for i, found in sorted(con.execute(DECODE).fetchall()):
+            out[parts[i][0]].append(found)
+        con.unregister("tokens")
+    return [b"".join(x) for x in out]
 
 
 def _slices(texts: list[str]):
     start = size = 0
     for i, t in enumerate(texts):
-        if size and size + len(t) > SLICE_BYTES:
+        if i > start and size + len(t) > SLICE_BYTES:
             yield start, i
             start, size = i, 0
         size += len(t)
@@ -175,25 +209,38 @@ def encode(df: DataFrame, vocabulary_path: str, pattern: str, key: str = "doc_id
     """
     spark = df.sparkSession
     with open(vocabulary_path, "rb") as f:  # on the driver; the file's size is fixed
-        lines = spark.sparkContext.broadcast(f.read())
+        given = spark.sparkContext.broadcast(Vocabulary(f.read()))
     kind = type_of(df, key)
 
     def run(batches):
         import regex
 
-        vocabulary, words_of = Vocabulary(lines.value), regex.compile(pattern).findall
-        con, known = vocabulary.connect(), {}
+        vocabulary, words_of = given.value, regex.compile(pattern)
+        con, known, pieces = vocabulary.connect(), {}, {}
+
+        def learn(words: set[str]) -> None:
+            if len(known) > 600_000:  # bounds the memory, not the result
+                known.clear()
+                pieces.clear()
+            known.update(encode_words(con, vocabulary, list(words.difference(known)), pieces))
+
+        def long(text: str) -> str:
+            found, out = words_of.finditer(text), []
+            while words := [m[0] for m in islice(found, SLICE_WORDS)]:
+                learn(set(words))
+                out.append(" ".join(map(known.__getitem__, words)))
+            return " ".join(out)
+
         for batch in batches:
             keys, texts = batch.column(0), batch.column(1).to_pylist()
             for i, j in _slices(texts := [t or "" for t in texts]):
-                split = [words_of(t) for t in texts[i:j]]
-                if len(known) > 600_000:  # bounds the memory, not the result
-                    known = {}
-                new = set().union(*split).difference(known)
-                known.update(encode_words(con, vocabulary, list(new)))
-                get = known.__getitem__
-                joined = [" ".join(map(get, words)) for words in split]
-                del split
+                if len(texts[i]) > SLICE_BYTES:  # one text, whose words are many
+                    joined = [long(texts[i])]
+                else:
+                    split = [words_of.findall(t) for t in texts[i:j]]
+                    learn(set().union(*split))
+                    joined = [" ".join(map(known.__getitem__, words)) for words in split]
+                    del split
                 ids = [np.fromstring(x, np.int32, sep=" ") if x else np.empty(0, np.int32) for x in joined]
                 if not digests:
                     yield pa.record_batch([keys.slice(i, j - i), pa.array(ids, pa.list_(pa.int32()))], names=[key, "ids"])
@@ -211,11 +258,11 @@ def decode(df: DataFrame, vocabulary_path: str, key: str = "doc_id", ids: str =
     """``key, bytes`` for each row's ``ids``; null or empty ids give no bytes."""
     spark = df.sparkSession
     with open(vocabulary_path, "rb") as f:
-        lines = spark.sparkContext.broadcast(f.read())
+        given = spark.sparkContext.broadcast(Vocabulary(f.read()))
     kind = type_of(df, key)
 
     def run(batches):
-        con = Vocabulary(lines.value).connect()
+        con = given.value.connect()
         for batch in batches:
             for i in range(0, batch.num_rows, 1000):
                 part = batch.slice(i, 1000)

@@ -39,15 +39,55 @@ def test_against_the_library(spark, oracle):
     assert all(bytes(r.bytes) == (texts[r.doc_id] or "").encode() for r in back.collect())
 
 
-def test_long_words_follow_the_same_rule(oracle):
+def test_words_of_any_length(oracle):
+    """Joint contractions and cuts give what one contraction a step gives."""
     with open(PATH, "rb") as f:
         vocabulary = bpe.Vocabulary(f.read())
     rng = random.Random(2)
     con = vocabulary.connect()
-    for letters in ("ab", "etaoinshr", "abcdefghijklmnopqrstuvwxyz"):
-        word = "".join(rng.choices(letters, k=bpe.LONG_WORD_BYTES))
-        want = " ".join(map(str, oracle._encode_single_piece(word.encode())))
-        assert vocabulary.contract(word.encode()) == want == bpe.encode_words(con, vocabulary, [word])[word]
+    words = ["".join(rng.choices(letters, k=n)) for letters in ("ab", "l", "etaoinshr", "abcdefghijklmnopqrstuvwxyz") for n in (2, 7, 40, 400, 401, 5_000)]
+    words += ["a" * 200_000, "ab" * 20_000, "".join(chr(rng.randrange(0x4E00, 0x6000)) for _ in range(3_000))]
+    words += ["".join(rng.choices(rng.choice(["ab", "aehinst", "the", "-=", "01"]), k=rng.randrange(2, 70))) for _ in range(300)]
+    got = bpe.encode_words(con, vocabulary, words)
+    for w in words:
+        assert got[w] == " ".join(map(str, oracle._encode_single_piece(w.encode()))), w[:80]
+
+
+def test_one_contraction_where_ranks_may_fall():
+    """Of ``bb`` the pair ``b, bb`` has a lower rank than it, so places aren't contracted together."""
+    tokens = [bytes([i]) for i in range(256)] + [b"bbb", b"bb", b"bbbb", b"ab", b"aba"]
+    lines = b"\n".join(base64.b64encode(t) + b" " + str(i).encode() for i, t in enumerate(tokens))
+    vocabulary = bpe.Vocabulary(lines)
+    oracle = tiktoken.Encoding("small", pat_str=P.PATTERN, mergeable_ranks=vocabulary.ranks, special_tokens={})
+    rng = random.Random(5)
+    words = ["".join(rng.choices("abc", k=rng.randrange(2, 40))) for _ in range(200)] + ["b" * n for n in range(2, 20)]
+    got = bpe.encode_words(vocabulary.connect(), vocabulary, words)
+    for w in words:
+        assert got[w] == " ".join(map(str, oracle._encode_single_piece(w.encode()))), w
+
+
+def test_long_texts_in_parts(spark, oracle, monkeypatch):
+    monkeypatch.setattr(bpe, "SLICE_BYTES", 300)
+    monkeypatch.setattr(bpe, "SLICE_WORDS", 7)
+    monkeypatch.setattr(bpe, "SLICE_TOKENS", 11)
+    texts = ["short one", " ".join(f"word{i} and" for i in range(200)), "", "x " * 300, None, "the end"]
+    df = spark.createDataFrame(list(enumerate(texts)), DOCS).coalesce(1)
+    for r in bpe.encode(df, PATH, P.PATTERN, digests=True).collect():
+        want = oracle.encode_ordinary(texts[r.doc_id] or "")
+        assert (r.n_tokens, r.ids_sha256) == (len(want), hashlib.sha256(" ".join(map(str, want)).encode()).hexdigest())
+        assert r.decoded_sha256 == hashlib.sha256((texts[r.doc_id] or "").encode()).hexdigest()
+
+
+def test_query(spark, oracle):
+    from sessionlake.llm.queries import op5_bpe
+
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    got = op5_bpe(spark, "/root/testdata/sf0.001").collect()
+    assert len(got) == len(texts)
+    for r in got:
+        want = oracle.encode_ordinary(texts[r.doc_id])
+        assert (r.n_tokens, r.ids_sha256) == (len(want), hashlib.sha256(" ".join(map(str, want)).encode()).hexdigest())
+        assert r.decoded_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest()
 
 
 def test_edge_cases(spark):
