@@ -3,23 +3,29 @@
 A logistic regression on character n-grams of words.  In the labelled texts,
 identity terms of each sentence are swapped with others of their kind; training
 penalises the squared change of the score, so that a group's name by itself
-moves no verdict.  Features are chosen by a two-proportion test on all sampled
-texts; texts are scored whole on executors.
+moves no verdict.  As texts may name few groups or none, short neutral
+sentences that name each group, by language, are swapped too, and compared with
+the same sentence that names none.  Features are chosen by a two-proportion test
+on all sampled texts; texts are scored whole on executors.
 
 Bounds: the sample has at most ``MAX_PER_CLASS`` rows of each label, chosen by a
-hash of the key; the model at most ``MAX_FEATURES`` weights.
+hash of the key; the model has a weight for each bucket that passes the test, of
+2^``BUCKET_BITS`` buckets.  All sentences of a sampled text are swapped; together
+they weigh as much as those of any other.
 
 Defined cases: a null or empty text has no features and gets the score of the
 bias; a text of any length counts whole; repeated rows are scored one by one;
-of repeated labels the larger counts, and a null label is no label; without
-labels of both kinds every score is the share of toxic labels, or 0; an empty
-table gives an empty result; other columns of the input are ignored.
+of repeated labels the larger counts, and a null label is no label; a row whose
+key is null is never learned from, so it counts as held out; without labels of
+both kinds every score is the share of toxic labels, or 0; an empty table gives
+an empty result; other columns of the input are ignored.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterable
 
 import numpy as np
@@ -30,8 +36,6 @@ from pyspark.sql import functions as F
 from .common import Workspace, need, type_of
 
 MAX_PER_CLASS = 6_000
-MAX_FEATURES = 4_096
-MAX_PAIRS = 20  # counterfactual sentences of one sampled text
 
 BUCKET_BITS = 20
 GRAM_SIZES = (4, 6, 8)
@@ -54,6 +58,37 @@ IDENTITY_TERMS = {
     "ability": ["blind", "deaf", "disabled", "autistic", "paralysed"],
 }
 
+#: The same for other languages; terms that are swapped keep their form.
+TERMS = {
+    "en": IDENTITY_TERMS,
+    "es": {
+        "gender": ["mujer", "hombre", "mujeres", "hombres", "niña", "niño"],
+        "orientation": ["gay", "lesbiana", "bisexual", "heterosexual", "homosexual"],
+        "religion": ["musulmán", "cristiano", "judío", "hindú", "budista", "ateo", "católico"],
+        "origin": ["africano", "asiático", "europeo", "americano", "mexicano", "chino", "indio", "árabe", "gitano"],
+        "age": ["anciano", "joven"],
+        "ability": ["ciego", "sordo", "discapacitado", "autista"],
+    },
+    "fr": {
+        "gender": ["femme", "homme", "femmes", "hommes", "fille", "garçon"],
+        "orientation": ["homosexuel", "lesbienne", "bisexuel", "hétérosexuel"],
+        "religion": ["musulman", "chrétien", "juif", "hindou", "bouddhiste", "athée", "catholique"],
+        "origin": ["africain", "asiatique", "européen", "américain", "mexicain", "chinois", "indien", "maghrébin"],
+        "age": ["vieux", "jeune"],
+        "ability": ["aveugle", "sourd", "handicapé", "autiste"],
+    },
+    "de": {
+        "gender": ["frau", "mann", "frauen", "männer", "mädchen", "junge"],
+        "orientation": ["schwul", "lesbisch", "bisexuell", "heterosexuell", "homosexuell"],
+        "religion": ["muslimisch", "christlich", "jüdisch", "hinduistisch", "buddhistisch", "atheistisch", "katholisch"],
+        "origin": ["afrikanisch", "asiatisch", "europäisch", "amerikanisch", "mexikanisch", "chinesisch", "indisch", "arabisch", "türkisch"],
+        "age": ["alt", "jung"],
+        "ability": ["blind", "taub", "behindert", "autistisch"],
+    },
+}
+#: Neutral sentences that name a group, and what says the same of nobody in particular.
+MENTIONS = {"en": ("My neighbour is {} .", "My neighbour is here ."), "es": ("Mi vecino es {} .", "Mi vecino es así ."), "fr": ("Mon voisin est {} .", "Mon voisin est là ."), "de": ("Mein Nachbar ist {} .", "Mein Nachbar ist da .")}
+
 
 def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Word numbers and buckets of the n-grams of bytes of each word."""
@@ -119,16 +154,34 @@ def _by_size(texts: list[str], most: int) -> Iterable[list[str]]:
         yield part
 
 
+def kinds_of(terms: dict[str, dict[str, list[str]]]) -> dict[str, list[str]]:
+    """The kinds of all languages; a term of two of them is of the first."""
+    seen: set[str] = set()
+    out = {}
+    for language, kinds in terms.items():
+        for kind, words in kinds.items():
+            out[f"{language} {kind}"] = [w for w in words if w not in seen and not seen.add(w)]
+    return out
+
+
 def swapped(text: str, terms: dict[str, list[str]]) -> list[tuple[str, str]]:
     """Sentences with identity terms, and the same with the kind's next term."""
     nxt = {w: kind[(i + 1) % len(kind)] for kind in terms.values() for i, w in enumerate(kind)}
+    if not nxt:
+        return []
     found = re.compile(r"\b(" + "|".join(map(re.escape, nxt)) + r")\b", re.I)
+    return [(s, found.sub(lambda m: nxt[m[0].lower()], s)) for s in re.split(r"(?<=[.!?])\s+|\n", text) if found.search(s)]
+
+
+def mentions(terms: dict[str, dict[str, list[str]]], sentences: dict[str, tuple[str, str]] | None = None) -> list[tuple[str, str]]:
+    """Neutral sentences that name a group, each with one that names the next of
+    its kind, and with one that names none."""
+    sentences = MENTIONS if sentences is None else sentences
     out = []
-    for sentence in re.split(r"(?<=[.!?])\s+|\n", text):
-        if found.search(sentence):
-            out.append((sentence, found.sub(lambda m: nxt[m[0].lower()], sentence)))
-            if len(out) == MAX_PAIRS:
-                break
+    for language, kinds in terms.items():
+        naming, plain = sentences.get(language, ("{}", ""))
+        for words in kinds.values():
+            out += [(naming.format(w), naming.format(words[(i + 1) % len(words)])) for i, w in enumerate(words)] + [(plain, naming.format(w)) for w in words]
     return out
 
 
@@ -144,7 +197,7 @@ def sample(docs: DataFrame, labels: DataFrame, may_learn: Column, key: str, text
     return rows.select("text", "label").distinct()  # copies of a text say nothing new about its words
 
 
-def choose(rows: DataFrame, most: int) -> tuple[np.ndarray, int, int]:
+def choose(rows: DataFrame) -> tuple[np.ndarray, int, int]:
     """Buckets whose share of texts differs between the classes, and the sizes of the classes."""
 
     def count(batches):
@@ -167,34 +220,35 @@ def choose(rows: DataFrame, most: int) -> tuple[np.ndarray, int, int]:
     share = (F.col("n0") + F.col("n1")) / (clean + toxic)
     z = F.abs(F.col("n1") / toxic - F.col("n0") / clean) / F.sqrt(F.greatest(share * (1 - share), F.lit(1e-12)) * (1 / clean + 1 / toxic))
     chosen = counts.filter(F.col("n0") + F.col("n1") >= LEAST_TEXTS).withColumn("z", z).filter(F.col("z") >= LEAST_Z)
-    return np.array(sorted(r.bucket for r in chosen.orderBy(F.desc("z"), "bucket").limit(most).collect()), np.int64), clean, toxic
+    return np.array(sorted(r.bucket for r in chosen.select("bucket").collect()), np.int64), clean, toxic  # at most 2^BUCKET_BITS numbers
 
 
-def fit(texts: list[list[int]], labels: list[int], pairs: list[tuple[list[int], list[int]]], features: int, weight: float = COUNTERFACTUAL_WEIGHT) -> tuple[float, np.ndarray]:
+def fit(texts: list[np.ndarray], labels: list[int], pairs: list[tuple[list[int], list[int], float]], features: int, weight: float = COUNTERFACTUAL_WEIGHT) -> tuple[float, np.ndarray]:
     """Bias and weights by accelerated gradient descent on the mean logistic loss,
     the decay, and ``weight`` times the mean squared change of swapped sentences."""
     sizes = np.array([len(t) for t in texts])
-    row, col = np.repeat(np.arange(len(texts)), sizes), np.array([f for t in texts for f in t], int)
+    row, col = np.repeat(np.arange(len(texts)), sizes), np.concatenate(texts).astype(int)
     y, n = np.array(labels, float), len(texts)
-    prow = np.array([i for i, (a, b) in enumerate(pairs) for _ in range(len(a) + len(b))], int)
-    pcol = np.array([f for a, b in pairs for f in (*a, *b)], int)
-    sign = np.array([s for a, b in pairs for s in (*[1.0] * len(a), *[-1.0] * len(b))])
+    prow = np.array([i for i, (a, b, _) in enumerate(pairs) for _ in range(len(a) + len(b))], int)
+    pcol = np.array([f for a, b, _ in pairs for f in (*a, *b)], int)
+    sign = np.array([s for a, b, _ in pairs for s in (*[1.0] * len(a), *[-1.0] * len(b))])
+    share = np.array([x for _, _, x in pairs]) / max(1e-12, sum(x for _, _, x in pairs))
     w, bias = np.zeros(features), math.log(y.mean() / (1 - y.mean()))
     # row sums of the curvature bound it by a diagonal, which gives each weight a step of its own
     wide = sizes + 1.0
     steep = 0.25 * np.bincount(col, wide[row], features) / n + DECAY
     steep_bias = 0.25 * wide.mean()
     if len(pairs):
-        both = np.array([len(a) + len(b) for a, b in pairs], float)
-        steep += 2 * weight / len(pairs) * np.bincount(pcol, both[prow], features)
+        both = np.array([len(a) + len(b) for a, b, _ in pairs], float) * share
+        steep += 2 * weight * np.bincount(pcol, both[prow], features)
     ahead, ahead_bias, t = w, bias, 1.0
     for _ in range(STEPS):
         score = np.bincount(row, ahead[col], n) + ahead_bias
         error = (1 / (1 + np.exp(-score)) - y) / n
         slope = np.bincount(col, error[row], features) + DECAY * ahead
         if len(pairs):
-            change = np.bincount(prow, sign * ahead[pcol], len(pairs))
-            slope += 2 * weight / len(pairs) * np.bincount(pcol, sign * change[prow], features)
+            change = np.bincount(prow, sign * ahead[pcol], len(pairs)) * share
+            slope += 2 * weight * np.bincount(pcol, sign * change[prow], features)
         nw, nb = ahead - slope / steep, ahead_bias - error.sum() / steep_bias
         nt = (1 + math.sqrt(1 + 4 * t * t)) / 2
         ahead, ahead_bias = nw + (t - 1) / nt * (nw - w), nb + (t - 1) / nt * (nb - bias)
@@ -202,39 +256,59 @@ def fit(texts: list[list[int]], labels: list[int], pairs: list[tuple[list[int],
     return bias, w
 
 
-def train(docs: DataFrame, labels: DataFrame, may_learn: Column, key: str = "doc_id", text: str = "text", label: str = "toxic", per_class: int = MAX_PER_CLASS, most: int = MAX_FEATURES, terms: dict[str, list[str]] = IDENTITY_TERMS, weight: float = COUNTERFACTUAL_WEIGHT) -> tuple[float, np.ndarray, np.ndarray]:
-    """Bias, buckets and weights; ``may_learn`` is a condition on ``id``."""
+def train(docs: DataFrame, labels: DataFrame, may_learn: Column, key: str = "doc_id", text: str = "text", label: str = "toxic", per_class: int = MAX_PER_CLASS, terms: dict[str, dict[str, list[str]]] = TERMS, weight: float = COUNTERFACTUAL_WEIGHT) -> tuple[float, np.ndarray, np.ndarray]:
+    """Bias, buckets and weights; ``may_learn`` is a condition on ``id``, and
+    ``terms`` are identity terms by language and kind."""
     ws = Workspace(docs.sparkSession, "toxicity")
     rows = ws.keep(sample(docs, labels, may_learn, key, text, label, per_class), "sample")
-    buckets, clean, toxic = choose(rows, most)
+    buckets, clean, toxic = choose(rows)
     if not len(buckets):
         ws.close()
         share = toxic / (clean + toxic) if clean + toxic else 0.0
         return (math.log(share / (1 - share)) if 0 < share < 1 else (40.0 if share else -40.0)), buckets, np.empty(0)
-    given = docs.sparkSession.sparkContext.broadcast(buckets)
+    given, kinds = docs.sparkSession.sparkContext.broadcast(buckets), kinds_of(terms)
 
     def look(batches):
         lookup = Lookup(given.value)
+        changed: Counter = Counter()
         for batch in batches:
             texts = batch.column(0).to_pylist()
-            pairs = [swapped(t, terms) for t in texts]
-            first = lookup.features([a for p in pairs for a, _ in p])
-            second = lookup.features([b for p in pairs for _, b in p])
-            own = lookup.features(texts)
-            lists = [sorted(x) for x in own] + [sorted(x - y) for x, y in zip(first, second)]
-            others = [[] for _ in own] + [sorted(y - x) for x, y in zip(first, second)]
-            marks = batch.column(1).to_pylist() + [-1] * len(first)
-            yield pa.record_batch([pa.array(marks, pa.int32()), pa.array(lists, pa.list_(pa.int32())), pa.array(others, pa.list_(pa.int32()))], names=["label", "a", "b"])
-
-    # of the bounded sample, the chosen features only
-    found = rows.repartition(8).mapInArrow(look, "label int, a array<int>, b array<int>").collect()
+            own = [sorted(x) for x in lookup.features(texts)]
+            for t in texts:
+                found = different(lookup, swapped(t, kinds))
+                for pair in found:
+                    changed[pair] += 1 / len(found)
+            yield pa.record_batch([batch.column(1), pa.array(own, whole), pa.array([[]] * len(own), whole), pa.array([0.0] * len(own))], names=["label", "a", "b", "weight"])
+        yield pa.record_batch(
+            [pa.array([-1] * len(changed), pa.int32()), pa.array([a for a, _ in changed], whole), pa.array([b for _, b in changed], whole), pa.array(list(changed.values()), pa.float64())],
+            names=["label", "a", "b", "weight"],
+        )
+
+    whole = pa.list_(pa.int32())
+    # of the bounded sample, the chosen features, and the changes that differ
+    found = rows.repartition(8).mapInArrow(look, "label int, a array<int>, b array<int>, weight double")
+    found = pa.Table.from_batches(found.toArrow().to_batches())
     ws.close()
-    found.sort(key=lambda r: (r.label, r.a, r.b))
-    own = [r for r in found if r.label >= 0]
-    bias, w = fit([r.a for r in own], [r.label for r in own], [(r.a, r.b) for r in found if r.label < 0 and (r.a or r.b)], len(buckets), weight)
+    mark = found.column("label").to_numpy()
+    lists = found.column("a").combine_chunks()
+    ends, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
+    own = sorted((int(mark[i]), flat[ends[i] : ends[i + 1]].tobytes()) for i in np.flatnonzero(mark >= 0))
+    pairs: Counter = Counter()
+    for r in found.filter(pa.array(mark < 0)).to_pylist():
+        pairs[tuple(r["a"]), tuple(r["b"])] += r["weight"]
+    for pair in different(Lookup(buckets), mentions(terms)):
+        pairs[pair] += 1.0
+    changes = [(a, b, x) for (a, b), x in sorted(pairs.items()) if a or b]
+    bias, w = fit([np.frombuffer(x, np.int32) for _, x in own], [y for y, _ in own], changes, len(buckets), weight)
     return bias, buckets, w
 
 
+def different(lookup: Lookup, pairs: list[tuple[str, str]]) -> list[tuple[tuple, tuple]]:
+    """The features that only one of two sentences has."""
+    first, second = lookup.features([a for a, _ in pairs]), lookup.features([b for _, b in pairs])
+    return [(tuple(sorted(x - y)), tuple(sorted(y - x))) for x, y in zip(first, second)]
+
+
 def score(docs: DataFrame, model: tuple[float, np.ndarray, np.ndarray], key: str = "doc_id", text: str = "text", rest: tuple[str, ...] = (), name: str = "score") -> DataFrame:
     """``key, score`` for each row, and the columns in ``rest``; ``name`` is the score's."""
     spark = docs.sparkSession
@@ -259,5 +333,5 @@ def score(docs: DataFrame, model: tuple[float, np.ndarray, np.ndarray], key: str
 
 
 def held_out(key: Column) -> Column:
-    """A third of the keys, which training never sees."""
-    return F.crc32(key.cast("string").cast("binary")) % 3 == 1
+    """A third of the keys, and rows without one, which training never sees."""
+    return F.coalesce(F.crc32(key.cast("string").cast("binary")) % 3 == 1, F.lit(True))

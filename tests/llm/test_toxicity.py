@@ -57,6 +57,39 @@ def test_swapped_sentences():
     assert found == [("A Muslim man.", "A christian women."), ("Two women", "Two men")]
 
 
+def test_all_sentences_of_a_text_are_swapped():
+    text = " ".join(f"number {i} is a muslim." for i in range(50))
+    assert len(toxicity.swapped(text, toxicity.IDENTITY_TERMS)) == 50
+    kinds = toxicity.kinds_of(toxicity.TERMS)
+    assert toxicity.swapped("Ein Nachbar ist taub.", kinds) == [("Ein Nachbar ist taub.", "Ein Nachbar ist behindert.")]
+    every = [w for k in kinds.values() for w in k]
+    assert len(every) == len(set(every)) and toxicity.swapped("gay", {}) == []
+
+
+def test_mentions_of_the_table_itself(spark):
+    """Its texts name no group; neutral sentences still keep planted names from raising scores."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    names = sorted({w for k in toxicity.kinds_of(toxicity.TERMS).values() for w in k})
+    clean = docs.join(labels.filter("toxic = 0"), "doc_id").select("doc_id", "text")
+    named = clean.select("doc_id", F.concat(F.coalesce("text", F.lit("")), F.lit(" " + " ".join(names))).alias("text"))
+    moved, flagged, reached = [], [], []
+    for weight in (0.0, 1.0):
+        model = toxicity.train(docs, labels, ~toxicity.held_out(F.col("id")), weight=weight)
+        reached.append(sum(bool(a or b) for a, b in toxicity.different(toxicity.Lookup(model[1]), toxicity.mentions(toxicity.TERMS))))
+        both = toxicity.score(named, model, name="after").join(toxicity.score(clean, model), "doc_id").collect()
+        moved.append(sum(abs(r.after - r.score) for r in both))
+        flagged.append(sum(r.after >= toxicity.THRESHOLD for r in both))
+    assert reached[0] == reached[1] and flagged[1] <= flagged[0]
+    assert not reached[0] or moved[1] < 0.2 * moved[0]
+
+
+def test_rows_without_a_key_are_held_out(spark):
+    rows = spark.createDataFrame([(None,), (1,), (2,), (4,)], "doc_id bigint").select("doc_id", toxicity.held_out(F.col("doc_id")).alias("h")).collect()
+    import zlib
+
+    assert {r.doc_id: r.h for r in rows} == {None: True} | {i: zlib.crc32(str(i).encode()) % 3 == 1 for i in (1, 2, 4)}
+
+
 def test_sample_is_bounded_and_skips_held_out(spark):
     rows, labels = corpus(300)
     docs, marks = spark.createDataFrame(rows + rows, DOCS), spark.createDataFrame(labels + [(0, None), (None, 1), (1, 7)], LABELS)
