@@ -14,11 +14,11 @@ count as links of each other.
 
 Defined cases: vectors link only where their labels are equal and not null and
 their lengths are equal; a vector that is null, empty, zero, or holds a null, a
-NaN or an infinity links with nothing; vectors of any length are hashed whole;
-repeated rows count as vectors that link with each other; rows whose key is
-null link with their copies only, and have a null component unless a copy has a
-key; an empty table gives an empty result; other columns of the input are
-ignored.
+NaN or an infinity links with nothing; vectors of any length are hashed whole,
+and components of any magnitude count; repeated rows count as vectors that link
+with each other; rows whose key is null link with their copies only, and have a
+null component unless a copy has a key; an empty table gives an empty result;
+other columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -44,6 +44,14 @@ BUCKET = 64
 BLOCK = 768
 
 
+def unit(x: np.ndarray) -> np.ndarray:
+    """Each row at length one; it is scaled by a power of two before, which is
+    exact, so that squares neither overflow nor vanish."""
+    exponent = np.frexp(np.abs(x).max(1, initial=0))[1]
+    x = np.ldexp(x, -exponent[:, None])
+    return x / np.linalg.norm(x, axis=1)[:, None]
+
+
 def turned(x: np.ndarray, seed: tuple[int, ...]) -> np.ndarray:
     """Rounds of random signs and a Hadamard transform of each row."""
     n = 1 << max(1, (x.shape[1] - 1).bit_length())
@@ -134,8 +142,7 @@ def buckets(classes: DataFrame, tables: dict[int, int], functions: int, dtype: s
             dims = batch.column("dim").to_numpy()
             for dim in np.unique(dims):
                 part = batch.take(pa.array(np.flatnonzero(dims == dim)))
-                x = binary_rows(part.column("vector"), dtype).astype(float)
-                x /= np.linalg.norm(x, axis=1)[:, None]
+                x = unit(binary_rows(part.column("vector"), dtype).astype(float))
                 every = np.stack([codes(x, t, functions) for t in range(tables[int(dim)])], axis=1)
                 packed = pa.array([row.tobytes() for row in every.astype(small)], pa.binary())
                 part = pa.RecordBatch.from_arrays([*part.columns, packed], names=[*part.schema.names, "codes"])
@@ -167,8 +174,7 @@ def first_meeting(own: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.nda
 
 def close(batches, threshold: float, dtype: str, small: str, keys: list[str]):
     for table in groups(batches, keys):
-        x = binary_rows(table.column("vector"), dtype).astype(float)
-        x /= np.linalg.norm(x, axis=1)[:, None]
+        x = unit(binary_rows(table.column("vector"), dtype).astype(float))
         packed = binary_rows(table.column("codes"), small).astype(np.int64).reshape(len(x), -1, PROBES + 1)
         tree, code = table.column("tree")[0].as_py(), table.column("code")[0].as_py()
 

@@ -3,12 +3,16 @@
 A dynamic program over the histogram of all lengths chooses the bucket lengths
 with the least padding; inside each bucket, batches hold as many documents as
 the token budget has room for at the bucket's length.  A document's place in
-its bucket is its rank in the order of a hash of its key, which is counted from
-the sizes of ranges of that hash, so no bucket meets in one task.
+its bucket is its rank in the order of a hash of its key.  Rows are dealt to
+ranges of bucket, hash and row number, and counted from the sizes of these, so
+neither a bucket nor a key meets in one task.
+
+Tokens are words unless ``length`` says otherwise, such as
+``F.size("ids")`` of encoded texts.
 
 Bounds: the histogram has a row for each different length.  k different lengths
-above ``EXACT`` words need more than k * ``EXACT`` words of text, so its size
-follows the number of very long documents at most.
+above 65,536 words need more than k * 65,536 words of text, so its size follows
+the number of very long documents at most.
 
 Defined cases: the length of a text is its number of words (runs of anything
 but ASCII white space); a null or empty text has length 0 and is packed too; a
@@ -29,22 +33,15 @@ from .common import Workspace, need
 
 BUCKETS = 16
 BUDGET = 16_384
-EXACT = 1 << 16
 
-#: Documents that a range of the hash should hold.
-RANGE = 16_384
+#: A partition's number and a row's place in it share a number.
+_PLACES = 33
 
 
 def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("bigint")
 
 
-def rounded(length: Column) -> Column:
-    """The length, above ``EXACT`` to three digits; ``pack`` doesn't use it."""
-    unit = F.pow(F.lit(2.0), F.floor(F.log2(F.greatest(length, F.lit(1)))) - 10)
-    return F.when(length <= EXACT, length).otherwise((F.ceil(length / unit) * unit).cast("bigint"))
-
-
 def boundaries(histogram: list[tuple[int, int]], buckets: int = BUCKETS) -> list[int]:
     """The largest lengths of the buckets with the least total padding.
 
@@ -102,7 +99,8 @@ def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", buckets: int
     else:
         given = docs.select(F.col(f"`{key}`").alias("id"), length.cast("bigint").alias("n"))
     order = F.md5(F.coalesce(F.col("id").cast("string"), F.lit("")).cast("binary"))
-    rows = ws.keep(given.withColumn("n", F.coalesce("n", F.lit(0))).withColumn("place", order), "lengths")
+    # a row's number parts rows of the same key; it is written, so that it holds
+    rows = ws.keep(given.withColumn("n", F.coalesce("n", F.lit(0))).withColumn("place", order).withColumn("row", F.monotonically_increasing_id()), "lengths")
     histogram = [(r.n, r.documents) for r in rows.groupBy("n").agg(F.count("*").alias("documents")).collect()]
     ends = boundaries(histogram, buckets)
     room = [max(1, budget // max(1, e)) for e in ends]
@@ -111,15 +109,15 @@ def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", buckets: int
     for n, r in zip(members, room):
         first.append(first[-1] + math.ceil(n / r))
     constant = lambda x: F.array(*[F.lit(i).cast("bigint") for i in x]) if x else F.array().cast("array<bigint>")
-    digits = max(0, math.ceil(math.log(max(1, sum(members)) / RANGE, 16)))
     rows = rows.withColumn("bucket", F.size(F.filter(constant(ends), lambda e: e < F.col("n"))))
-    rows = rows.withColumn("range", F.substring("place", 1, digits) if digits else F.lit(""))
-    sizes = rows.groupBy("bucket", "range").agg(F.count("*").alias("size"))
-    # a row for each bucket and range of the hash; their running sums, by bucket
+    ordered = ["bucket", "place", "id", "n", "row"]
+    rows = rows.repartitionByRange(*ordered).sortWithinPartitions(*ordered).withColumn("at", F.monotonically_increasing_id())
+    rows = ws.keep(rows.select("id", "n", "bucket", F.shiftright("at", _PLACES).alias("range"), F.col("at").bitwiseAND((1 << _PLACES) - 1).alias("place")), "ranges")
+    sizes = rows.groupBy("bucket", "range").agg(F.count("*").alias("size"), F.min("place").alias("start"))
+    # a row for each range, and one more for each bucket; their running sums, by bucket
     before = F.sum("size").over(Window.partitionBy("bucket").orderBy("range").rowsBetween(Window.unboundedPreceding, -1))
-    offsets = ws.keep(sizes.select("bucket", "range", F.coalesce(before, F.lit(0)).alias("before")), "offsets")
-    rank = F.row_number().over(Window.partitionBy("bucket", "range").orderBy("place", "id", "n")) - 1
-    out = rows.join(offsets, ["bucket", "range"]).withColumn("rank", F.col("before") + rank)
+    offsets = ws.keep(sizes.select("bucket", "range", (F.coalesce(before, F.lit(0)) - F.col("start")).alias("before")), "offsets")
+    out = rows.join(offsets, ["bucket", "range"]).withColumn("rank", F.col("before") + F.col("place"))
     per = F.get(constant(room), F.col("bucket"))
     return out.select(
         F.col("id").alias(key), F.col("n").alias("n_tokens"), "bucket", F.get(constant(ends), F.col("bucket")).alias("bucket_length"),

@@ -54,17 +54,20 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.assemble(warc.read(spark, path)).select(
         warc.capture_key(F.col("record_id"), "bigint").alias("page_id"), "payload_bytes", F.col("payload_sha1").alias("payload_digest"), F.col("type").alias("record_type"),
         warc.capture_key(F.col("refers_to"), "bigint").alias("refers_to"), F.size("requests").alias("n_requests"), F.size("metadata").alias("n_metadata"),
+        "target_uri", F.get("requests.target_uri", F.lit(0)).alias("requested"), F.get("metadata.payload", F.lit(0)).cast("string").alias("said"),
     )
 
 
 WARC_SQL = """
 WITH payloads AS (
-  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha1(encode(coalesce(html, ''))) AS digest FROM pages
+  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha1(encode(coalesce(html, ''))) AS digest,
+    coalesce(replace(replace(url, chr(13), '%0D'), chr(10), '%0A'), 'urn:capture:' || page_id) AS target FROM pages
 ), firsts AS (
   SELECT digest, max(page_id) AS first FROM payloads WHERE n >= 1000 GROUP BY digest
 )
 SELECT page_id, n::BIGINT AS payload_bytes, digest AS payload_digest, CASE WHEN first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
-  CASE WHEN first <> page_id THEN first END AS refers_to, 1 AS n_requests, 1 AS n_metadata
+  CASE WHEN first <> page_id THEN first END AS refers_to, 1 AS n_requests, 1 AS n_metadata,
+  target AS target_uri, target AS requested, 'payload-bytes: ' || n || chr(13) || chr(10) AS said
 FROM payloads LEFT JOIN firsts USING (digest)
 """
 

@@ -32,8 +32,13 @@ from .common import Workspace, need
 #: Equal payloads below this size are stored again.
 LEAST_REVISIT = 1_000
 
-#: Payload bytes that a file should hold; a reader has one file in memory.
+#: Bytes that a file may hold, of more than one capture; a reader has one file in memory.
 FILE_BYTES = 48_000_000
+
+#: Captures are written by size, so that a count of them bounds a file's bytes;
+#: what fields and headers take beside payload and address is ``HEAD_BYTES`` at most.
+SIZES = (16_000, 128_000, 1_000_000, 8_000_000, FILE_BYTES)
+HEAD_BYTES = 2_000
 END = "\r\n\r\n"
 IDENTICAL = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 ANCHORS = ("response", "revisit", "resource")
@@ -50,15 +55,18 @@ def _record(kind: str, identifier: Column, fields: list[tuple[str, Column]], blo
 
 def write(captures: DataFrame, path: str, key: str, url: str, payload: str, least: int = LEAST_REVISIT, date: str = "1970-01-01T00:00:00Z") -> None:
     """Stores the captures; of equal payloads of at least ``least`` bytes, that
-    with the largest key is the response and the others revisit it."""
+    with the largest key is the response and the others revisit it.  A file holds
+    ``FILE_BYTES`` at most before compression, or one capture."""
     ws = Workspace(captures.sparkSession, "warc")
     given = need(captures, key, url, payload).toDF("id", "url", "payload")
     given = given.withColumn("payload", F.coalesce(F.col("payload").cast("binary"), F.lit(b"")))
     given = given.withColumn("n", F.octet_length("payload").cast("bigint")).withColumn("same", F.sha1("payload"))
     first = given.filter(F.col("n") >= least).groupBy("same", "n").agg(F.max("id").alias("first"), F.count("*").alias("copies")).filter("copies > 1")
     first = ws.keep(first.select("same", "n", "first"), "first")  # Spark knows its size, and broadcasts it only if that allows
-    mean = given.agg(F.avg("n")).first()[0] or 0.0
-    records_per_file = 3 * max(1, min(5_000, int(FILE_BYTES / (mean + 1_000))))
+    # a url is in at most nine fields and lines of the three records, up to three bytes long for one
+    taken = F.col("n") + 27 * F.coalesce(F.octet_length("url"), F.lit(0))
+    given = given.withColumn("step", sum([(taken > x).cast("int") for x in SIZES], F.lit(0)))
+    steps = sorted(r.step for r in given.select("step").distinct().collect())  # a few numbers
     rows = given.join(first, ["same", "n"], "left")
     urn = lambda of, kind: F.concat(F.lit("<urn:capture:"), F.coalesce(of.cast("string"), F.lit("")), F.lit(f":{kind}>"))
     answer = urn(F.col("id"), "response")
@@ -77,9 +85,10 @@ def write(captures: DataFrame, path: str, key: str, url: str, payload: str, leas
     request = _record("request", urn(F.col("id"), "request"), [*about, *concurrent, ("Content-Type", F.lit("application/http;msgtype=request"))], asked)
     said = F.concat(F.lit("payload-bytes: "), F.col("n").cast("string"), F.lit("\r\n"))
     metadata = _record("metadata", urn(F.col("id"), "metadata"), [*about, *concurrent, ("Content-Type", F.lit("application/warc-fields"))], said)
-    records = rows.select(F.explode(F.array(response, request, metadata)).alias("value"))
-    options = {"lineSep": END, "compression": "gzip", "zlib.compress.level": "BEST_SPEED", "maxRecordsPerFile": records_per_file}
-    records.write.options(**options).text(path)
+    for step in steps or [0]:
+        per_file = 3 * max(1, FILE_BYTES // (SIZES[step] + HEAD_BYTES)) if step < len(SIZES) else 3
+        records = rows.filter(F.col("step") == step).select(F.explode(F.array(response, request, metadata)).alias("value"))
+        records.write.options(lineSep=END, compression="gzip", maxRecordsPerFile=per_file, **{"zlib.compress.level": "BEST_SPEED"}).text(f"{path}/size{step}")
     ws.close()
 
 

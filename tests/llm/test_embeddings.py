@@ -95,3 +95,19 @@ def test_recall_at_the_threshold(functions):
         a, b = embeddings.codes(x, t, functions), embeddings.codes(y, t, functions)
         met |= ((a == b[:, :1]) | (b == a[:, :1])).any(1)
     assert met.mean() > 0.995
+
+
+def test_magnitudes(spark):
+    """Squares of components may be out of a double's range."""
+    rng = np.random.default_rng(3)
+    a = rng.normal(size=32)
+    near, other = a + 0.05 * rng.normal(size=32), rng.normal(size=32)
+    rows = []
+    for k, scale in enumerate((1.0, 1e200, 1e-200, 1e300, 1e-306)):
+        rows += [(10 * k + i, (v * scale).tolist(), k) for i, v in enumerate((a, near, other))]
+    rows += [(90, (a * 1e150).tolist(), 9), (91, (a * 1e-150).tolist(), 9), (92, (other * 1e-150).tolist(), 9)]
+    got = sorted(map(tuple, embeddings.join(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int")).collect()))
+    want = []
+    for k in range(5):
+        want += [(10 * k, 1, 10 * k, True), (10 * k + 1, 1, 10 * k, False), (10 * k + 2, 0, 10 * k + 2, True)]
+    assert got == want + [(90, 1, 90, True), (91, 1, 90, False), (92, 0, 92, True)]

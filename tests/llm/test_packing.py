@@ -2,7 +2,6 @@ import itertools
 import math
 import random
 
-import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -32,9 +31,7 @@ def test_many_lengths_are_quick():
     assert len(ends) == 16
 
 
-@pytest.mark.parametrize("size", [4, 1 << 14])
-def test_batches(spark, monkeypatch, size):
-    monkeypatch.setattr(packing, "RANGE", size)
+def test_batches(spark):
     rng = random.Random(2)
     rows = [(i, " ".join(["w"] * (rng.choice([3, 3, 3, 50, rng.randint(0, 300)])))) for i in range(400)]
     got = packing.pack(spark.createDataFrame(rows, DOCS), buckets=4, budget=600).collect()
@@ -64,12 +61,10 @@ def test_edge_cases(spark):
     assert alone.bucket_length >= 100_000 and sum(r.batch == alone.batch for r in got) == 1
 
 
-def test_given_lengths_and_rounding(spark):
+def test_given_lengths(spark):
     df = spark.createDataFrame([(1, 5), (2, 70_000), (3, None)], "doc_id bigint, size int")
     got = {r.doc_id: r.n_tokens for r in packing.pack(df, text="size", length=F.col("size")).collect()}
     assert got == {1: 5, 2: 70_000, 3: 0}
-    row = [r.v for r in spark.createDataFrame([(1,), (65_536,), (65_537,), (10**12 + 1,)], "n bigint").select(packing.rounded(F.col("n")).alias("v")).collect()]
-    assert row[:2] == [1, 65_536] and all(a <= b <= a * 1.001 + 64 for a, b in zip((65_537, 10**12 + 1), row[2:])) and math.log2(row[3]) > 39
 
 
 def test_long_lengths_are_exact(spark):
@@ -80,3 +75,51 @@ def test_long_lengths_are_exact(spark):
     got = {r.n_tokens: r.bucket_length for r in packing.pack(df, text="size", buckets=3, length=F.col("size")).collect()}
     ends = packing.boundaries([(n, 1) for n in lengths], 3)
     assert got == {n: min(e for e in ends if e >= n) for n in lengths}
+
+
+def test_a_hot_key_is_dealt_to_ranges(spark):
+    """Rows of one key, and rows without one, lie in several tasks and keep their order."""
+    rows = [(7 if i % 3 else None, "w " * (1 + i % 4)) for i in range(3000)]
+    docs = spark.createDataFrame(rows, DOCS).repartition(8)
+    old = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # which would join ranges as small as these
+    kept = {}
+    keep = packing.Workspace.keep
+
+    def spy(self, df, label, *more):
+        kept[label] = keep(self, df, label, *more)
+        return kept[label]
+
+    packing.Workspace.keep = spy
+    try:
+        got = packing.pack(docs, buckets=2, budget=40).collect()
+        sizes = [r["count"] for r in kept["ranges"].groupBy("range").count().collect()]
+    finally:
+        packing.Workspace.keep = keep
+        spark.conf.set("spark.sql.adaptive.enabled", old)
+    assert len(sizes) > 2 and max(sizes) < 1500
+    by = {}
+    for r in got:
+        by.setdefault(r.batch, []).append(r)
+    assert len(got) == 3000 and sorted(by) == list(range(len(by)))
+    for rows_of in by.values():
+        assert sorted(r.slot for r in rows_of) == list(range(len(rows_of)))
+    first, last = {}, {}
+    for r in sorted(got, key=lambda r: r.batch):
+        first.setdefault((r.bucket, r.doc_id), r.batch)
+        last[r.bucket, r.doc_id] = r.batch
+    for bucket in {b for b, _ in first}:  # one key's rows follow the other's
+        a, b = (None, 7) if first[bucket, None] < first[bucket, 7] else (7, None)
+        assert last[bucket, a] <= first[bucket, b]
+
+
+def test_lengths_in_tokens(spark):
+    import public_tokenizers as P
+
+    from sessionlake.llm import bpe
+
+    docs = spark.createDataFrame([(1, "some words here"), (2, "naïveté, 漢字"), (3, None)], DOCS)
+    ids = bpe.encode(docs, P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
+    want = {r.doc_id: len(r.ids) for r in ids.collect()}
+    got = packing.pack(ids, length=F.size("ids"), buckets=2).collect()
+    assert {r.doc_id: r.n_tokens for r in got} == want and len(set(want.values())) == 3

@@ -74,6 +74,17 @@ def test_transactions(spark):
     assert sorted(map(tuple, got.collect())) == [("<m2>", "<v>"), ("<m>", "<r>"), ("<n>", "<r>"), ("<q2>", "<v>"), ("<q>", "<r>")]
 
 
+def test_files_are_bounded_however_sizes_vary(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "FILE_BYTES", 400_000)
+    monkeypatch.setattr(warc, "SIZES", (2_000, 20_000, 100_000, 400_000))
+    rows = [(i, f"http://h/{i}", "s" * 50) for i in range(3000)] + [(5000 + i, "http://h/", f"{i}" * 9_000) for i in range(300)] + [(9000, "http://h/", "x" * 900_000)]
+    warc.write(spark.createDataFrame(rows, PAGES).coalesce(1), f"{tmp_path}/a", "page_id", "url", "html")
+    files = list((tmp_path / "a").rglob("*.gz"))
+    sizes = sorted(len(b"".join(warc._inflated(f.read_bytes()))) for f in files)
+    assert sizes[-1] > 900_000 and sizes[-2] <= 400_000 and len(sizes) > 10
+    assert warc.read(spark, f"{tmp_path}/a").filter("type = 'response'").count() == len(rows)
+
+
 def test_edge_cases(spark, tmp_path):
     warc.write(spark.createDataFrame([], PAGES), f"{tmp_path}/none", "page_id", "url", "html")
     assert warc.assemble(warc.read(spark, f"{tmp_path}/none")).count() == 0
