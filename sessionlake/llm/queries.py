@@ -151,7 +151,8 @@ def op7_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _values(rows: list[tuple]) -> str:
-    return ", ".join("(" + ", ".join(repr(x) for x in row) + ")" for row in rows)
+    literal = lambda x: "'" + x.replace("'", "''") + "'" if isinstance(x, str) else repr(x)
+    return ", ".join("(" + ", ".join(literal(x) for x in row) + ")" for row in rows)
 
 
 def _url_parts(url: str) -> str:

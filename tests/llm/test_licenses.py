@@ -66,9 +66,9 @@ def test_each_place_is_a_match():
 def test_collisions_are_as_likely_as_promised():
     for size in (1, 3, 20, 90):
         window, stride = licenses.window_of(size)
-        assert window >= size + stride - 1
+        assert licenses.blocks_of(size) * stride >= window >= size + stride - 1
         held = -(-size * 8 // 10)
-        j = held / (window + size - held)
+        j = held / (licenses.blocks_of(size) * stride + size - held)
         assert 1 - (1 - j**licenses.ROWS) ** licenses.bands_for(size) >= licenses.TARGET or j == 1
 
 
@@ -80,3 +80,27 @@ def test_edge_cases(spark):
     assert licenses.scan(spark.createDataFrame([], DOCS)).count() == 0
     with pytest.raises(ValueError):
         licenses.Scanner({"short": "too few words"})
+
+
+def test_templates_from_a_table(spark):
+    rows = [("a", "one two three four five six"), ("a", "a shorter text of six words"), ("b", None), (None, "x"), ("c", " ".join(f"c{i}" for i in range(900)))]
+    table = spark.createDataFrame(rows, "license string, text string")
+    docs = spark.createDataFrame([(1, "zero one two three four five six seven"), (2, " ".join(["lead"] * 77 + [f"c{i}" for i in range(900)])), (3, None)], DOCS)
+    got = {r.doc_id: (r.licenses, [tuple(m) for m in r.matches]) for r in licenses.scan(docs, table).collect()}
+    assert got == {1: (["a"], [("a", 1, 6, 1.0)]), 2: (["c"], [("c", 77, 900, 1.0)]), 3: ([], [])}
+    limit = licenses.MAX_TEMPLATE_BYTES
+    licenses.MAX_TEMPLATE_BYTES = 100
+    try:
+        with pytest.raises(ValueError):
+            licenses.scan(docs, table)
+    finally:
+        licenses.MAX_TEMPLATE_BYTES = limit
+
+
+def test_slices_change_nothing(spark, monkeypatch):
+    rows = corpus(seed=3, n=60)
+    want = sorted(map(str, licenses.scan(spark.createDataFrame(rows, DOCS).coalesce(1)).collect()))
+    one = [licenses.Scanner(licenses.TEMPLATES).scan(t) for _, t in rows]
+    assert one == licenses.Scanner(licenses.TEMPLATES).scan_all([t for _, t in rows])
+    monkeypatch.setattr(licenses, "SLICE_WORDS", 90)
+    assert sorted(map(str, licenses.scan(spark.createDataFrame(rows, DOCS).coalesce(1)).collect())) == want
