@@ -22,10 +22,11 @@ from .session import build_session  # noqa: E402
 from .sinks import export_tables  # noqa: E402
 from .sources.archive import Archive  # noqa: E402
 from .sources.lake import ingest, scan_lake  # noqa: E402
+from .sources.remote import set_storage_options  # noqa: E402
 
 __all__ = [
     "SESSION_PATH", "TABLE_INDEX", "TABLE_PATH", "Archive", "ColumnError", "InternalPathError", "Session", "Subject", "TimeSeries",
     "assemble_ragged", "assemble_ragged_nested", "attrs_frame", "build_session", "common_tables", "consolidate_attrs", "events_in_intervals", "export_tables",
     "fixed_shape", "get_attrs", "get_sub_attrs", "get_timeseries", "ingest", "insert_is_observed", "internal_paths", "merge_array_column",
-    "rate_timestamps", "read", "row_counts", "scan", "scan_lake", "select_columns", "session_metadata", "sql_context", "table_length", "table_schema",
+    "rate_timestamps", "read", "row_counts", "scan", "scan_lake", "select_columns", "session_metadata", "set_storage_options", "sql_context", "table_length", "table_schema",
 ]

@@ -51,8 +51,12 @@ class TimeSeries:
 
     @property
     def starting_time(self) -> float | None:
+        """The time of the first sample, stored as such or among all."""
         node = self._group.get("starting_time")
-        return None if node is None else float(node.scalar())
+        if node is not None:
+            return float(node.scalar())
+        times = self._group.get("timestamps")
+        return float(times.read(0, 1)[0]) if times is not None and times.shape[0] else None
 
     @property
     def rate(self) -> float | None:
@@ -77,7 +81,8 @@ class TimeSeries:
 
     @property
     def timestamps_unit(self) -> str | None:
-        return self._attr("timestamps", "unit") or self._attr("starting_time", "unit")
+        """The series' own word on it, else that of its times."""
+        return self._group.attrs.get("timestamps_unit") or self._attr("timestamps", "unit") or self._attr("starting_time", "unit")
 
     @property
     def description(self) -> str | None:

@@ -445,9 +445,14 @@ def export_session_subdirs(spark, d):
     return spark.read.parquet(path).withColumn("session", F.col("session").cast("string"))
 
 
+def container_root(spark: SparkSession) -> str:
+    """A new shared folder, as the library's readers name it."""
+    return scratch_dir(spark, "containers").removeprefix("file://")
+
+
 def containers(spark: SparkSession, sf_dir: str) -> list[str]:
     """Sessions as containers in a new folder, each written by the task that has it."""
-    root = scratch_dir(spark, "containers").removeprefix("file://")
+    root = container_root(spark)
     us = units(spark, sf_dir).select(SESSION_PATH, F.col(TABLE_INDEX).alias("user_id"), "spike_times")
     ts = trials(spark, sf_dir).select(SESSION_PATH, F.col(TABLE_INDEX).alias("event_id"), "start_time", "stop_time", "value")
 
@@ -513,3 +518,6 @@ def container_sql(spark, d):
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     """Events of every unit in every interval of its session, with the unit's and the interval's columns."""
     return intervals.events_in_intervals(units(spark, d), {"n_events": ("start_time", "stop_time")}, trials(spark, d).drop(UNIT_INDEX), as_counts=True)
+
+
+from . import container_queries  # noqa: E402, F401 - adds its queries

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import logging
 import os
+import urllib.parse
+import uuid
 from collections.abc import Callable
 from typing import Any
 
@@ -11,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .constants import InternalPathError
+from .constants import SESSION_PATH, InternalPathError
 from .functions.scalars import safe_file_name
 from .operators.scan import as_paths, scan, table_schema
 from .plans.catalog import catalog_frame, common_tables, session_name
@@ -36,9 +38,10 @@ def _arrow(ending: str) -> Callable[..., None]:
 
 
 def _spark(name: str, flat: bool = False, **fixed: Any) -> Callable[..., None]:
-    def write(df: DataFrame, path: str, **options: Any) -> None:
+    def write(df: DataFrame, path: str, by: str | None = None, **options: Any) -> None:
         try:
-            (flattened(df) if flat else df).write.format(name).mode("overwrite").options(**(fixed | options)).save(path)
+            writer = (flattened(df) if flat else df).write.format(name).mode("overwrite").options(**(fixed | options))
+            (writer.partitionBy(by) if by else writer).save(path)
         except Exception as e:
             if "DATA_SOURCE_NOT_FOUND" in str(e) or "AVRO_NOT_LOADED" in str(e) or "Failed to find" in str(e):
                 raise RuntimeError(f"the format {name!r} needs its package on Spark's class path") from e
@@ -88,6 +91,39 @@ def write_table(df: DataFrame, path: str, output_format: str = "parquet", **opti
     FORMATS[format_of(output_format)][0](df, path, **options)
 
 
+#: Formats whose writer deals rows to folders, so that one job writes all sessions.
+DEALT = ("parquet", "csv", "json", "avro")
+FOLDER = "__folder"
+
+
+def write_by_session(df: DataFrame, folders: dict[str, str], output_dir: str, name: str, kind: str, **options: Any) -> bool:
+    """Writes each session's rows as ``name`` in its folder; whether there were any.
+
+    One job writes all of them below a folder that is only theirs; what it wrote
+    is renamed once it has ended, so a lost task leaves nothing half written.
+    """
+    spark = df.sparkSession
+    jvm, base = spark._jvm, output_dir if "://" in output_dir else f"file://{os.path.abspath(output_dir)}"
+    place = f"{base}/_writing-{uuid.uuid4().hex}"
+    given = spark.createDataFrame(list(folders.items()), f"{SESSION_PATH} string, {FOLDER} string")
+    named = df.join(given.withColumnRenamed(SESSION_PATH, "__session"), F.col(SESSION_PATH) == F.col("__session")).drop("__session")
+    path = lambda *parts: jvm.org.apache.hadoop.fs.Path("/".join(parts))
+    store = path(base).getFileSystem(spark._jsc.hadoopConfiguration())
+    try:
+        FORMATS[kind][0](named, place, by=FOLDER, **options)
+        found = [x.getPath().getName() for x in store.listStatus(path(place))]
+        found = [x for x in found if x.startswith(f"{FOLDER}=")]
+        for x in found:
+            folder = urllib.parse.unquote(x.removeprefix(f"{FOLDER}="))
+            store.mkdirs(path(base, folder))
+            store.delete(path(base, folder, name), True)
+            if not store.rename(path(place, x), path(base, folder, name)):
+                raise OSError(f"{folder}/{name} can't be put into its place")
+        return bool(found)
+    finally:
+        store.delete(path(place), True)
+
+
 def export_tables(
     spark: SparkSession,
     source: Any,
@@ -102,7 +138,8 @@ def export_tables(
 ) -> dict[str, str]:
     """Writes each table that at least so many sessions have, and returns where
     by path.  Empty tables are skipped.  With ``session_subdirs`` each session
-    has a folder of its own, named by its identifier; all share one schema."""
+    has a folder of its own, named by its identifier; all share one schema, and
+    sessions of one identifier share a folder."""
     kind = format_of(output_format)
     paths = as_paths(source)
     found = sorted(r.path for r in common_tables(catalog_frame(spark, paths, ignore_errors), min_file_count).select("path").collect())
@@ -112,17 +149,22 @@ def export_tables(
         if taken.setdefault(name, path) != path:
             raise ValueError(f"{path} and {taken[name]} would both be {name}; use full paths")
     os.makedirs(output_dir, exist_ok=True) if "://" not in output_dir else None
+    folders = {p: safe_file_name(session_name(p)) for p in paths} if session_subdirs else {}
     for path in found:
         name = output_name(path, ending, full_path)
         try:
             if session_subdirs:
                 schema = table_schema(spark, paths, path, exclude_array_columns=exclude_array_columns, ignore_errors=ignore_errors)
-                done = False
-                for p in paths:
-                    df = scan(spark, p, path, schema=schema, ignore_errors=ignore_errors)
-                    if not df.isEmpty():
-                        write_table(df, f"{output_dir}/{safe_file_name(session_name(p))}/{name}", kind, **write_options)
-                        done = True
+                if kind in DEALT:
+                    df = scan(spark, paths, path, schema=schema, ignore_errors=ignore_errors)
+                    done = write_by_session(df, folders, output_dir, name, kind, **write_options)
+                else:
+                    done = False
+                    for p in paths:
+                        df = scan(spark, p, path, schema=schema, ignore_errors=ignore_errors)
+                        if not df.isEmpty():
+                            write_table(df, f"{output_dir}/{folders[p]}/{name}", kind, **write_options)
+                            done = True
             else:
                 df = scan(spark, paths, path, exclude_array_columns=exclude_array_columns, ignore_errors=ignore_errors)
                 if done := not df.isEmpty():

@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from typing import Any
+from urllib.parse import urlsplit
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .remote import resolved_address, scheme_of
+
 #: Fixed value: the interface's address.
 API = "https://api.dandiarchive.org/api"
 
@@ -25,10 +29,11 @@ def _fetch(url: str, params: dict[str, Any]) -> dict[str, Any]:
 
 
 class Archive:
-    """``fetch`` gets an address and parameters and returns the decoded answer."""
+    """``fetch`` gets an address and parameters and returns the decoded answer;
+    ``resolve`` follows an address to where it leads."""
 
-    def __init__(self, api: str = API, fetch: Fetch = _fetch):
-        self.api, self.fetch = api.rstrip("/"), fetch
+    def __init__(self, api: str = API, fetch: Fetch = _fetch, resolve: Callable[[str], str] = resolved_address):
+        self.api, self.fetch, self.resolve = api.rstrip("/"), fetch, resolve
 
     def newest_version(self, dataset: str) -> str:
         return self.fetch(f"{self.api}/dandisets/{dataset}/", {})["most_recent_published_version"]["version"]
@@ -46,17 +51,20 @@ class Archive:
 
     def asset_url(self, dataset: str, asset: str, version: str | None = None) -> str:
         version = version or self.newest_version(dataset)
-        found = self.fetch(f"{self.api}/dandisets/{dataset}/versions/{version}/assets/{asset}/", {})
-        for url in found["contentUrl"]:
-            if "s3" in url.lower():
-                return url
+        found = self.fetch(f"{self.api}/dandisets/{dataset}/versions/{version}/assets/{asset}/", {})["contentUrl"]
+        # an address in an object store serves ranges itself; others may lead there
+        found = [u for u in found if scheme_of(u) in ("s3", "http", "https")]
+        stored = [u for u in found if scheme_of(u) == "s3" or any(x.startswith("s3") for x in (urlsplit(u).hostname or "").split("."))]
+        for url in [*stored, *found]:
+            return url if scheme_of(url) == "s3" else self.resolve(url)
         raise ValueError(f"asset {asset} has no address in a store")
 
     def urls(self, dataset: str, version: str | None = None, order: str = "path", keep: Callable[[dict[str, Any]], bool] | None = None, most: int | None = None) -> list[str]:
         """Addresses of the dataset's sessions, in order."""
         version = version or self.newest_version(dataset)
         sessions = [a for a in self.assets(dataset, version, order) if a["path"].endswith(SESSION_ENDINGS) and (keep is None or keep(a))]
-        return [self.asset_url(dataset, a["asset_id"], version) for a in sessions[:most]]
+        with ThreadPoolExecutor(16) as pool:  # small requests that wait for the network
+            return list(pool.map(lambda a: self.asset_url(dataset, a["asset_id"], version), sessions[:most]))
 
     def scan(self, spark: SparkSession, dataset: str, table_path: str, version: str | None = None, asset_filter: Callable[[dict[str, Any]], bool] | None = None, max_assets: int | None = None, **options: Any) -> DataFrame:
         from ..operators.scan import scan

@@ -11,6 +11,7 @@ from typing import Any
 import numpy as np
 
 from ..constants import InternalPathError, normalise
+from .remote import by_web, file_system, request, scheme_of, web_address
 
 
 class Array(ABC):
@@ -91,24 +92,39 @@ class HttpStore(Store):
         self.root = root.rstrip("/")
 
     def get(self, key: str) -> bytes | None:
-        import requests
+        answer = request("GET", f"{self.root}/{urllib.parse.quote(key)}")
+        return None if answer is None else answer.content
 
-        answer = requests.get(f"{self.root}/{urllib.parse.quote(key)}", timeout=60)
-        if answer.status_code in (403, 404):
+    def children(self, key: str) -> list[str]:
+        return []
+
+
+class ArrowStore(Store):
+    """Objects below a path of one of pyarrow's file systems."""
+
+    def __init__(self, files, root: str):
+        self.files, self.root = files, root.rstrip("/")
+
+    def get(self, key: str) -> bytes | None:
+        from pyarrow import fs
+
+        path = f"{self.root}/{key}"
+        if self.files.get_file_info(path).type != fs.FileType.File:
             return None
-        answer.raise_for_status()
-        return answer.content
+        with self.files.open_input_stream(path) as f:
+            return f.read()
 
     def children(self, key: str) -> list[str]:
-        return []
+        from pyarrow import fs
+
+        found = self.files.get_file_info(fs.FileSelector(f"{self.root}/{key}".rstrip("/"), allow_not_found=True))
+        return sorted(x.base_name for x in found)
 
 
-def web_address(path: str) -> str:
-    """``s3://bucket/key`` as the bucket's public web address; others as they are."""
-    if path.startswith("s3://"):
-        bucket, _, key = path[5:].partition("/")
-        return f"https://{bucket}.s3.amazonaws.com/{key}"
-    return path
+def store_of(path: str) -> Store:
+    if not scheme_of(path):
+        return LocalStore(path)
+    return HttpStore(web_address(path)) if by_web(path) else ArrowStore(*file_system(path))
 
 
 def resolved(path: str) -> str:
@@ -134,14 +150,11 @@ class Opened:
         return Opened, ()
 
     def get(self, path: str) -> Group:
-        from . import hdf5, zarr2
-
         stamp = os.stat(path).st_mtime_ns if "://" not in path and os.path.exists(path) else None
         if "://" not in path and stamp is None:
             raise FileNotFoundError(path)
         if (root := self.roots.get((path, stamp))) is None:
-            zarr = "zarr" in path or "://" not in path and os.path.isdir(path)
-            root = zarr2.open_root(path) if zarr else hdf5.open_root(path)
+            root = _first_that_opens(path)
             self.roots[path, stamp] = root
         self.roots.move_to_end((path, stamp))
         while len(self.roots) > self.most:
@@ -149,6 +162,29 @@ class Opened:
         return root
 
 
+def _first_that_opens(path: str) -> Group:
+    """By the format that the path looks like, else by the other one; what can't
+    be found or may not be read is neither."""
+    from . import hdf5, zarr2
+
+    zarr = "zarr" in path or "://" not in path and os.path.isdir(path)
+    first, second = (zarr2, hdf5) if zarr else (hdf5, zarr2)
+    try:
+        return first.open_root(path)
+    except (FileNotFoundError, PermissionError) as e:
+        if "://" not in path or isinstance(e, PermissionError):
+            raise
+        error: Exception = e
+    except NotImplementedError:  # it is of this format
+        raise
+    except Exception as e:
+        error = e
+    try:
+        return second.open_root(path)
+    except Exception:
+        raise error from None
+
+
 _opened = Opened()
 
 

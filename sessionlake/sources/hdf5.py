@@ -7,6 +7,7 @@ from typing import Any
 import numpy as np
 
 from . import container
+from .remote import Stream, open_bytes, scheme_of
 
 
 class Array(container.Array):
@@ -48,12 +49,11 @@ class Group(container.Group):
 
 
 def open_root(path: str) -> container.Group:
-    if "://" in path:
-        raise ValueError(f"{path}: HDF5 is read from file systems; mount the store, or convert the file to Zarr")
+    """The root group; remote files are read by ranges, a block at a time."""
     try:
         import h5py
     except ImportError:
         from . import hdf5_plain
 
         return hdf5_plain.open_root(path)
-    return Group(h5py.File(path, "r"))
+    return Group(h5py.File(Stream(open_bytes(path)) if scheme_of(path) else path, "r"))

@@ -10,7 +10,6 @@ and say so.
 
 from __future__ import annotations
 
-import os
 import struct
 import zlib
 from dataclasses import dataclass
@@ -19,6 +18,7 @@ from typing import Any
 import numpy as np
 
 from . import container
+from .remote import open_bytes
 
 SIGNATURE = b"\x89HDF\r\n\x1a\n"
 NOWHERE = (1 << 64) - 1
@@ -40,31 +40,27 @@ class Kind:
 
 class File:
     def __init__(self, path: str):
-        self.fd = os.open(path, os.O_RDONLY)
+        self.bytes = open_bytes(path)
         self.path, self.heaps = path, {}
-        size, at = os.fstat(self.fd).st_size, 0
-        while os.pread(self.fd, 8, at) != SIGNATURE:
+        read, at = self.bytes.read, 0
+        while read(at, 8) != SIGNATURE:
             at = 512 if not at else 2 * at
-            if at >= size:
+            if at >= self.bytes.size:
                 raise OSError(f"{path} is no HDF5 file")
-        version = os.pread(self.fd, 1, at + 8)[0]
+        version = read(at + 8, 1)[0]
         if version < 2:
-            offsets, lengths = os.pread(self.fd, 2, at + 13)
+            offsets, lengths = read(at + 13, 2)
             start = at + (24 if version == 0 else 28)
-            self.base, _, _, _ = struct.unpack("<4Q", os.pread(self.fd, 32, start))
-            self.root = struct.unpack("<Q", os.pread(self.fd, 8, start + 40))[0]
+            self.base, _, _, _ = struct.unpack("<4Q", read(start, 32))
+            self.root = struct.unpack("<Q", read(start + 40, 8))[0]
         else:
-            offsets, lengths = os.pread(self.fd, 2, at + 9)
-            self.base, _, _, self.root = struct.unpack("<4Q", os.pread(self.fd, 32, at + 12))
+            offsets, lengths = read(at + 9, 2)
+            self.base, _, _, self.root = struct.unpack("<4Q", read(at + 12, 32))
         if (offsets, lengths) != (8, 8):
             raise NotImplementedError(f"{path}: addresses of {offsets} and lengths of {lengths} bytes")
 
-    def __del__(self, close=os.close):
-        if hasattr(self, "fd"):
-            close(self.fd)
-
     def read(self, address: int, size: int) -> bytes:
-        return os.pread(self.fd, size, self.base + address)
+        return self.bytes.read(self.base + address, size)
 
     def messages(self, address: int) -> list[tuple[int, bytes]]:
         out: list[tuple[int, bytes]] = []

@@ -1,16 +1,18 @@
-"""Writes small HDF5 files in the format's classic layout, for the tests."""
+"""Small HDF5 files in the format's classic layout, for fixtures and round trips."""
 
 import struct
 import zlib
 
 import numpy as np
 
+from .remote import put
+
 NOWHERE = (1 << 64) - 1
 pad = lambda b, n=8: b + b"\0" * (-len(b) % n)
 
 
 class Writer:
-    """The calls of ``sessions.Writer``; ``consolidate`` writes the file."""
+    """Collects groups and arrays; ``consolidate`` writes the file."""
 
     def __init__(self, path):
         self.root, self.nodes, self.attrs = path, {"": None}, {}
@@ -28,7 +30,10 @@ class Writer:
     def table(self, path, columns, **attrs):
         self.group(path, colnames=list(columns), neurodata_type="DynamicTable", **attrs)
         for name, values in columns.items():
-            self.array(f"{path}/{name}", values, chunk=3 if np.ndim(values) and not isinstance(values, list) else None, neurodata_type="VectorData")
+            if isinstance(values, list) and values and isinstance(values[0], (list, np.ndarray)):  # a ragged column
+                self.array(f"{path}/{name}_index", np.cumsum([len(v) for v in values]))
+                values = np.concatenate([np.asarray(v) for v in values])
+            self.array(f"{path}/{name}", values, chunk=max(3, len(values) // 8) if np.ndim(values) and not isinstance(values, list) else None, neurodata_type="VectorData")
 
     def put(self, data):
         self.out += b"\0" * (-len(self.out) % 8)
@@ -132,5 +137,6 @@ class Writer:
         root = self.folder("")
         head = b"\x89HDF\r\n\x1a\n" + struct.pack("<8BHHI4Q", 0, 0, 0, 0, 0, 8, 8, 0, 4, 16, 0, 0, NOWHERE, len(self.out), NOWHERE) + struct.pack("<QQII16x", 0, root, 0, 0)
         self.out[: len(head)] = head
-        with open(self.root, "wb") as f:
-            f.write(self.out)
+        put(self.root, bytes(self.out))
+
+    close = consolidate

@@ -220,8 +220,7 @@ class Root(Group):
 
 
 def open_root(path: str) -> Root:
-    address = container.web_address(path)
-    store = container.HttpStore(address) if "://" in address else container.LocalStore(address)
+    store = container.store_of(path)
     root = Root(store, path)
     if root.meta is None and store.get(".zgroup") is None:
         raise ValueError(f"{path} is no Zarr group of version 2")

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import os
 import struct
 import zlib
 from collections.abc import Mapping, Sequence
@@ -11,36 +10,37 @@ from typing import Any
 
 import numpy as np
 
+from .remote import put
+
 
 class ZarrWriter:
-    """Collects groups and arrays below a local folder; ``close`` writes the
+    """Collects groups and arrays below a folder; ``close`` writes the
     consolidated metadata."""
 
     def __init__(self, root: str, **attrs: Any):
         self.root, self.meta = root, {}
-        self._group("")
-        if attrs:
-            self._document(".zattrs", attrs)
+        self.group("", **attrs)
 
     def _store(self, key: str, data: bytes) -> None:
-        path = os.path.join(self.root, key)
-        os.makedirs(os.path.dirname(path), exist_ok=True)
-        with open(path, "wb") as f:
-            f.write(data)
+        put(f"{self.root}/{key}", data)
 
     def _document(self, key: str, what: dict) -> None:
         self.meta[key] = what
         self._store(key, json.dumps(what).encode())
 
-    def _group(self, path: str) -> None:
+    def group(self, path: str, **attrs: Any) -> None:
         parts = path.split("/") if path else []
         for i in range(len(parts) + 1):
             key = "/".join([*parts[:i], ".zgroup"])
             if key not in self.meta:
                 self._document(key, {"zarr_format": 2})
+        if attrs:
+            self._document(f"{path}/.zattrs".lstrip("/"), attrs)
 
-    def array(self, path: str, values: Any, rows_per_chunk: int = 65_536) -> None:
-        self._group(path.rpartition("/")[0])
+    def array(self, path: str, values: Any, rows_per_chunk: int = 65_536, **attrs: Any) -> None:
+        self.group(path.rpartition("/")[0])
+        if attrs:
+            self._document(f"{path}/.zattrs", attrs)
         text = isinstance(values, str) or isinstance(values, Sequence) and bool(len(values)) and isinstance(values[0], str)
         data = np.asarray(values, object if text else None)
         chunk = (min(rows_per_chunk, max(1, data.shape[0])), *data.shape[1:]) if data.shape else ()
@@ -56,10 +56,9 @@ class ZarrWriter:
             raw = struct.pack("<I", len(items)) + b"".join(struct.pack("<I", len(x)) + x for x in items) if text else part.tobytes()
             self._store(f"{path}/{'.'.join(map(str, [i // chunk[0], *[0] * (data.ndim - 1)])) if chunk else '0'}", zlib.compress(raw, 1))
 
-    def table(self, path: str, columns: Mapping[str, Any]) -> None:
+    def table(self, path: str, columns: Mapping[str, Any], **attrs: Any) -> None:
         """Columns of numbers or strings; a list of arrays is stored as a ragged one."""
-        self._group(path)
-        self._document(f"{path}/.zattrs", {"colnames": list(columns), "neurodata_type": "DynamicTable"})
+        self.group(path, colnames=list(columns), neurodata_type="DynamicTable", **attrs)
         for name, values in columns.items():
             if len(values) and isinstance(values[0], (list, np.ndarray)):
                 self.array(f"{path}/{name}_index", np.cumsum([len(v) for v in values]))

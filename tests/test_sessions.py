@@ -17,7 +17,8 @@ from sessionlake.plans import catalog, schema
 from sessionlake.sources import zarr2
 from sessionlake.sources.container import clear_cache, open_container, web_address
 from sessionlake.streaming.ingest import session_lengths, stream_lake
-from tests import hdf5_writer, sessions
+from sessionlake.sources import hdf5_writer
+from tests import sessions
 
 
 def test_scan_rows_types_and_provenance(spark, two):
@@ -307,20 +308,22 @@ def test_lake_and_stream(spark, two, tmp_path):
     assert [r.n_rows for r in spark.sql("SELECT * FROM lengths").collect()] == [6, 6]
 
 
-def test_archive(spark, two):
+def test_archive_addresses():
     from sessionlake.sources.archive import Archive
 
     pages = {
         "a/dandisets/1/": {"most_recent_published_version": {"version": "v2"}},
         "a/dandisets/1/versions/v2/assets/": {"results": [{"asset_id": "x", "path": "b.nwb"}, {"asset_id": "n", "path": "notes.txt"}], "next": "more"},
         "more": {"results": [{"asset_id": "y", "path": "c.nwb"}], "next": None},
-        "a/dandisets/1/versions/v2/assets/x/": {"contentUrl": ["https://api/x", two[0] + "?s3"]},
-        "a/dandisets/1/versions/v2/assets/y/": {"contentUrl": [two[1].replace("zarr", "S3") + "s3"]},
+        "a/dandisets/1/versions/v2/assets/x/": {"contentUrl": ["https://api/x/s3/download", "https://bucket.s3.amazonaws.com/blobs/x"]},
+        "a/dandisets/1/versions/v2/assets/y/": {"contentUrl": ["https://api/y"]},
+        "a/dandisets/1/versions/v2/assets/z/": {"contentUrl": ["ftp://s3/z"]},
     }
-    a = Archive("a", lambda url, params: pages[url])
-    assert [x.endswith("s3") for x in a.urls("1")] == [True, True] and len(a.urls("1", most=1)) == 1 and len(a.urls("1", keep=lambda x: x["path"] == "c.nwb")) == 1
-    a.urls = lambda *x, **y: two
-    assert a.scan(spark, "1", "units").count() == 8
+    a = Archive("a", lambda url, params: pages[url], lambda url: url + "?resolved")
+    assert a.urls("1") == ["https://bucket.s3.amazonaws.com/blobs/x?resolved", "https://api/y?resolved"]
+    assert len(a.urls("1", most=1)) == 1 and len(a.urls("1", keep=lambda x: x["path"] == "c.nwb")) == 1
+    with pytest.raises(ValueError):
+        a.asset_url("1", "z")
 
 
 def test_containers(two, tmp_path):
