@@ -5,7 +5,6 @@ from __future__ import annotations
 
 import atexit
 import contextlib
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -15,17 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Only where that is unset (tests on one machine) a temporary folder is made.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="sessionlake-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+from ..session import shared_root
 
 
 class Workspace:
@@ -37,7 +26,7 @@ class Workspace:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
-        self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        self.root = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
         self.number = 0
         atexit.register(self._forget)
 
