@@ -74,4 +74,4 @@ def test_columns_by_place(spark):
 
 
 def test_shared_folder_is_the_clusters(spark):
-    assert common.shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
+    assert common.shared_root(spark) == spark.conf.get("spark.checkpoint.dir")
