@@ -124,12 +124,11 @@ class Lookup:
         self.number[buckets] = np.arange(len(buckets))
         self.known: set[str] = set()
         self.found: dict[str, list[int]] = {}
-        self.hot: set[str] = set()
 
     def features(self, texts: list[str]) -> list[set[int]]:
         split = [words_of(t) for t in texts]
         if len(self.known) > 500_000:  # bounds the memory, not the result
-            self.known, self.found, self.hot = set(), {}, set()
+            self.known, self.found = set(), {}
         new = list(set().union(*split).difference(self.known))
         for part in _by_size(new, 4_000_000):
             word, bucket = grams(part)
@@ -138,8 +137,8 @@ class Lookup:
             for w, f in zip(word[at].tolist(), feature[at].tolist()):
                 self.found.setdefault(part[w], []).append(f)
         self.known.update(new)
-        self.hot = set(self.found)
-        return [set().union(*[self.found[w] for w in words & self.hot]) for words in split]
+        found = self.found
+        return [set().union(*[found[w] for w in words if w in found]) for words in split]
 
 
 def _by_size(texts: list[str], most: int) -> Iterable[list[str]]:
@@ -164,13 +163,23 @@ def kinds_of(terms: dict[str, dict[str, list[str]]]) -> dict[str, list[str]]:
     return out
 
 
-def swapped(text: str, terms: dict[str, list[str]]) -> list[tuple[str, str]]:
+class Swap:
     """Sentences with identity terms, and the same with the kind's next term."""
-    nxt = {w: kind[(i + 1) % len(kind)] for kind in terms.values() for i, w in enumerate(kind)}
-    if not nxt:
-        return []
-    found = re.compile(r"\b(" + "|".join(map(re.escape, nxt)) + r")\b", re.I)
-    return [(s, found.sub(lambda m: nxt[m[0].lower()], s)) for s in re.split(r"(?<=[.!?])\s+|\n", text) if found.search(s)]
+
+    def __init__(self, terms: dict[str, list[str]]):
+        self.next = {w: kind[(i + 1) % len(kind)] for kind in terms.values() for i, w in enumerate(kind)}
+        words = all(re.fullmatch(r"\w+", w) for w in self.next)
+        # terms of one word are looked up by word, others tried at each place
+        self.found = re.compile(r"\w+" if words else r"\b(?:" + "|".join(map(re.escape, self.next)) + r")\b", re.I)
+
+    def names(self, text: str) -> bool:
+        return not self.next.keys().isdisjoint(self.found.findall(text.lower()))
+
+    def __call__(self, text: str) -> list[tuple[str, str]]:
+        if not self.names(text):
+            return []
+        sentences = [s for s in re.split(r"(?<=[.!?])\s+|\n", text) if self.names(s)]
+        return [(s, self.found.sub(lambda m: self.next.get(m[0].lower(), m[0]), s)) for s in sentences]
 
 
 def mentions(terms: dict[str, dict[str, list[str]]], sentences: dict[str, tuple[str, str]] | None = None) -> list[tuple[str, str]]:
@@ -269,15 +278,15 @@ def train(docs: DataFrame, labels: DataFrame, may_learn: Column, key: str = "doc
     given, kinds = docs.sparkSession.sparkContext.broadcast(buckets), kinds_of(terms)
 
     def look(batches):
-        lookup = Lookup(given.value)
+        lookup, swapped = Lookup(given.value), Swap(kinds)
         changed: Counter = Counter()
         for batch in batches:
             texts = batch.column(0).to_pylist()
             own = [sorted(x) for x in lookup.features(texts)]
             for t in texts:
-                found = different(lookup, swapped(t, kinds))
-                for pair in found:
-                    changed[pair] += 1 / len(found)
+                if pairs := swapped(t):
+                    for pair in different(lookup, pairs):
+                        changed[pair] += 1 / len(pairs)
             yield pa.record_batch([batch.column(1), pa.array(own, whole), pa.array([[]] * len(own), whole), pa.array([0.0] * len(own))], names=["label", "a", "b", "weight"])
         yield pa.record_batch(
             [pa.array([-1] * len(changed), pa.int32()), pa.array([a for a, _ in changed], whole), pa.array([b for _, b in changed], whole), pa.array(list(changed.values()), pa.float64())],

@@ -53,17 +53,19 @@ def test_neutral_mentions_are_spared(spark):
 
 
 def test_swapped_sentences():
-    found = toxicity.swapped("A Muslim man. Nothing here! Two women\nmuslims", toxicity.IDENTITY_TERMS)
+    found = toxicity.Swap(toxicity.IDENTITY_TERMS)("A Muslim man. Nothing here! Two women\nmuslims")
     assert found == [("A Muslim man.", "A christian women."), ("Two women", "Two men")]
 
 
 def test_all_sentences_of_a_text_are_swapped():
     text = " ".join(f"number {i} is a muslim." for i in range(50))
-    assert len(toxicity.swapped(text, toxicity.IDENTITY_TERMS)) == 50
+    assert len(toxicity.Swap(toxicity.IDENTITY_TERMS)(text)) == 50
     kinds = toxicity.kinds_of(toxicity.TERMS)
-    assert toxicity.swapped("Ein Nachbar ist taub.", kinds) == [("Ein Nachbar ist taub.", "Ein Nachbar ist behindert.")]
+    assert toxicity.Swap(kinds)("Ein Nachbar ist taub.") == [("Ein Nachbar ist taub.", "Ein Nachbar ist behindert.")]
     every = [w for k in kinds.values() for w in k]
-    assert len(every) == len(set(every)) and toxicity.swapped("gay", {}) == []
+    assert len(every) == len(set(every)) and toxicity.Swap({})("gay") == []
+    pair = {"x": ["old man", "young man"]}
+    assert toxicity.Swap(pair)("An Old man, a young man. No man.") == [("An Old man, a young man.", "An young man, a old man.")]
 
 
 def test_mentions_of_the_table_itself(spark):
