@@ -9,12 +9,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .constants import SESSION_PATH, TABLE_INDEX, UNIT_INDEX
 from .functions import scalars
-from .operators import arrays, intervals, metadata, scan
+from .operators import arrays, asof, intervals, metadata, scan
 from .operators.timeseries import rate_timestamps
 from .plans.catalog import catalog_frame, common_tables, register, sql_context
 from .session import scratch_dir
@@ -26,6 +26,7 @@ QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
 HOUR = 3_600_000_000
+DAY = 24 * HOUR
 FEW = 60  # events of a unit
 MICROS = "timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)"
 SESSION = "concat('session_', CAST(user_id % 4 AS STRING), '.nwb')"
@@ -239,15 +240,16 @@ def semi_join(spark, d):
 LEFT JOIN (SELECT user_id, epoch_us(ts) AS us FROM events WHERE event_type = 'signup') p ON p.user_id = e.user_id AND p.us <= e.us GROUP BY e.event_id""")
 def asof_join(spark, d):
     """The user's last signup at or before each purchase, by one pass over both in order of time."""
-    e = events(spark, d).filter("event_type IN ('purchase', 'signup')").withColumn("mark", F.expr("CASE WHEN event_type = 'signup' THEN us END"))
-    last = F.last("mark", True).over(Window.partitionBy("user_id").orderBy("us").rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    return e.withColumn("before", last).filter("event_type = 'purchase'").select("event_id", "before")
+    e = events(spark, d).filter("event_type IN ('purchase', 'signup')")
+    found = asof.last_before(e, "user_id", "us", F.expr("CASE WHEN event_type = 'signup' THEN us END"), DAY, "before")
+    return found.filter("event_type = 'purchase'").select("event_id", "before")
 
 
 @query(f"SELECT s AS _nwb_path, count(*)::INT AS n, min(i) AS low, max(i) AS high FROM {_NUMBERED} WHERE value > 50 GROUP BY s")
 def row_indices_per_session(spark, d):
-    found = numbered(spark, d).filter("value > 50").groupBy(SESSION_PATH).agg(F.collect_list(TABLE_INDEX).alias("i"))
-    return found.select(SESSION_PATH, F.size("i").alias("n"), F.array_min("i").alias("low"), F.array_max("i").alias("high"))
+    """The indices are gathered in runs, so a session's never meet in one task."""
+    found = numbered(spark, d).filter("value > 50").groupBy(SESSION_PATH, F.floor(F.col(TABLE_INDEX) / intervals.RUN).alias("run")).agg(F.collect_list(TABLE_INDEX).alias("i"))
+    return found.groupBy(SESSION_PATH).agg(F.sum(F.size("i")).cast("int").alias("n"), F.min(F.array_min("i")).alias("low"), F.max(F.array_max("i")).alias("high"))
 
 
 @query(f"""SELECT s AS _nwb_path, event_type AS common FROM (SELECT s, event_type, row_number() OVER (PARTITION BY s ORDER BY count(*) DESC, min(event_id), event_type) AS r FROM {_EVENTS} GROUP BY s, event_type) WHERE r = 1""")

@@ -196,6 +196,8 @@ def test_events_in_intervals(spark, two):
         S.events_in_intervals(units, windows, trials, as_counts=True, align_times=True)
     plan = counts._jdf.queryExecution().executedPlan().toString()
     assert not re.search("CartesianProduct|NestedLoop|EvalPython|MapIn", plan)
+    # runs with blocks, and these with units: the result isn't joined again
+    assert len(re.findall(r"(?:SortMerge|BroadcastHash|ShuffledHash)Join", plan.split("Initial Plan")[0])) == 2
 
 
 def test_binary_search_against_numpy(spark):
