@@ -2,6 +2,7 @@
 
 import random
 import time
+from bisect import bisect_left
 
 import pytest
 from pyspark.sql import functions as F
@@ -88,3 +89,30 @@ def test_what_is_sent_does_not_grow_with_pairs(spark):
     pairs = found.agg(F.count("*").alias("rows"), F.sum("n").alias("n"), F.sum(F.col("_intervals_table_index") * F.col("n"))).first()
     assert pairs.rows == 6_000_000 and pairs.n > 0
     assert sent(spark) - before < 1_000_000  # blocks of 16 units took some 10 MB
+
+
+def test_many_events_in_a_run(spark):
+    """Intervals in order of time, and in each of their runs nearly as many events as are searched in its bounds."""
+    rng = random.Random(1)
+    starts = sorted(rng.randrange(4_000_000) for _ in range(4_096))
+    times = {i: sorted(rng.choices(range(4_000_000), k=800)) for i in range(48)}
+    seen = {i: [[0, 2_000_000]] if i % 2 else None for i in times}
+    units = spark.createDataFrame([("p", i, times[i], seen[i]) for i in times], UNITS)
+    trials = spark.createDataFrame([("p", j, s, s + 5_000, "") for j, s in enumerate(starts)], TRIALS)
+    began = time.time()
+    got = S.events_in_intervals(units, {"n": ("start_time", "stop_time")}, trials, as_counts=True, keep_only_necessary_cols=True).collect()
+    took = time.time() - began
+    count = lambda i, s: bisect_left(times[i], s + 5_000) - bisect_left(times[i], s) if held(seen[i], s, s + 5_000) else None
+    assert {(r["_units_table_index"], r["_intervals_table_index"]): r.n for r in got} == {(i, j): count(i, s) for i in times for j, s in enumerate(starts)}
+    assert took < 15  # 1.5 s, and 33 s with what a run has found again for each event
+
+
+def test_what_is_sent_with_observations_does_not_grow_with_pairs(spark):
+    units = spark.range(0, 3_000, 1, 4).select(F.lit("p").alias(S.SESSION_PATH), F.col("id").alias(S.TABLE_INDEX), F.array(F.col("id") * 1_000).alias("spike_times"))
+    units = units.withColumn("obs_intervals", F.array(F.array(F.lit(0).cast("bigint"), F.lit(1_500_000).cast("bigint"))))
+    trials = spark.range(0, 2_000, 1, 4).select(F.lit("p").alias(S.SESSION_PATH), F.col("id").alias(S.TABLE_INDEX), (F.col("id") * 1_000).alias("start_time")).withColumn("stop_time", F.col("start_time") + 8_000)
+    before = sent(spark)
+    found = S.events_in_intervals(units, {"n": ("start_time", "stop_time")}, trials, as_counts=True, keep_only_necessary_cols=True)
+    pairs = found.agg(F.count("*").alias("rows"), F.count("n").alias("held"), F.sum("n").alias("n")).first()
+    assert (pairs.rows, pairs.held, pairs.n) == (6_000_000, 3_000 * 1_493, 8 * 1_493)
+    assert sent(spark) - before < 1_500_000
