@@ -153,3 +153,14 @@ def test_counts_query_takes_no_time_of_pairs(spark):
     got = queries.spikes_in_intervals_counts(spark, "/root/testdata/sf0.1").agg(F.count("*").alias("n"), F.sum("units").alias("units")).first()
     assert (got.n, got.units) == (20_302, 7_613_250)
     assert time.time() - began < 40
+
+
+def test_pairs_take_little_room_in_files(spark, tmp_path):
+    """Intervals of a run follow each other for one unit after another, so files repeat themselves within a page."""
+    units = spark.range(0, 600, 1, 4).select(F.lit("p").alias(S.SESSION_PATH), F.col("id").alias(S.TABLE_INDEX), F.array(F.col("id") * 100_000).alias("spike_times"))
+    trials = spark.range(0, 30_000, 1, 4).select(F.lit("p").alias(S.SESSION_PATH), F.xxhash64("id").alias(S.TABLE_INDEX), (F.col("id") * 5_000).alias("start_time")).withColumn("stop_time", F.col("start_time") + 20_000)
+    found = S.events_in_intervals(units, {"n": ("start_time", "stop_time")}, trials, as_counts=True, keep_only_necessary_cols=True)
+    found.write.parquet(f"{tmp_path}/pairs")
+    got = spark.read.parquet(f"{tmp_path}/pairs").agg(F.count("*").alias("rows"), F.sum("n").alias("n")).first()
+    assert got.rows == 18_000_000 and got.n == sum(min(t // 5_000, 29_999) - max((t - 20_000) // 5_000, -1) for t in range(0, 60_000_000, 100_000))
+    assert sum(f.stat().st_size for f in (tmp_path / "pairs").glob("*.parquet")) < 15_000_000
